@@ -9,10 +9,10 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import chat_format, jaccard_join, token_file, toxicity, url_filter
+from tapeloom.llm import chat_format, decontamination, fingerprint, jaccard_join, packing, pii, secret_scan, token_file, toxicity, url_filter
 from tapeloom.llm.common import table
 
 # --- 1: chat formatting ------------------------------------------------------
@@ -81,6 +81,57 @@ fits AS (
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM parts LEFT JOIN fits USING (page_id)
 """
 
+# --- 3: personal data --------------------------------------------------------
+
+
+def _listed(kind: str, spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["stop"].cast("string")))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = pii.find(documents, pii.train(documents))
+    base = F.concat(*[_listed(k, F.col(k)) for k in pii.KINDS])
+    every = F.concat(base, _listed("model", F.col("added")))
+    counts = [F.size(k).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(every, ",").alias("spans"))
+
+
+# --- 4: benchmark decontamination --------------------------------------------
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# --- 5: document fingerprints ------------------------------------------------
+
+
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_likeness(table(spark, sf_dir, "documents"))
+
+
+# --- 6: best-fit packing -----------------------------------------------------
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+# --- 7: secret scans ---------------------------------------------------------
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan(documents, secret_scan.train(documents)).select("doc_id", "spans")
+    written = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    base = F.filter("spans", lambda s: s["kind"] != "model")
+    of = lambda k: F.filter("spans", lambda s: s["kind"] == k)
+    counts = [F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in secret_scan.KINDS[:3]]
+    digest = F.sha2(F.array_join(F.transform(base, written), ","), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, F.array_join(F.transform("spans", written), ",").alias("spans"))
+
+
 # --- 8: toxicity -------------------------------------------------------------
 
 
@@ -109,6 +160,11 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_url_filter": op2_url_filter,
+    "op3_pii": op3_pii,
+    "op4_decontamination": op4_decontamination,
+    "op5_fingerprint": op5_fingerprint,
+    "op6_packing": op6_packing,
+    "op7_secret_scan": op7_secret_scan,
     "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_token_file": op10_token_file,

@@ -20,12 +20,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(32)
 
 
+def range_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each range; no range is empty."""
+    sizes = ends - starts
+    if not len(sizes):
+        return np.zeros(0, np.uint64)
+    powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(int(sizes.max()), STEP)]))
+    upto = np.cumsum(sizes)
+    inside = np.arange(upto[-1]) - np.repeat(upto - sizes, sizes)
+    letters = raw[np.repeat(starts, sizes) + inside]
+    return mix(np.add.reduceat((letters + np.uint64(1)) * powers[inside], upto - sizes) ^ sizes.astype(np.uint64) * OTHER)
+
+
 class Words:
-    """Lower-cased words ``[^\\x20\\x09-\\x0D]+`` of some texts: their places in ``raw`` and the text of each."""
+    """Lower-cased words ``[^\\x20\\x09-\\x0D]+`` of some texts: their places in ``raw`` and the text of each.
+
+    ``cased`` has the same bytes before A-Z were lower-cased.
+    """
 
     def __init__(self, texts: list[str]):
-        encoded = [x.encode().translate(LOWER) for x in texts]
-        self.raw = np.frombuffer(b" ".join([b"", *encoded, b""]), np.uint8)
+        encoded = [x.encode() for x in texts]
+        whole = b" ".join([b"", *encoded, b""])
+        self.cased = np.frombuffer(whole, np.uint8)
+        self.raw = np.frombuffer(whole.translate(LOWER), np.uint8)
         space = SPACE[self.raw]
         edges = np.flatnonzero(space[1:] != space[:-1]) + 1
         self.starts, self.ends = edges[0::2], edges[1::2]
@@ -37,14 +54,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        sizes = self.ends - self.starts
-        if not len(sizes):
-            return np.zeros(0, np.uint64)
-        powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(int(sizes.max()), STEP)]))
-        upto = np.cumsum(sizes)
-        inside = np.arange(upto[-1]) - np.repeat(upto - sizes, sizes)
-        letters = self.raw[np.repeat(self.starts, sizes) + inside]
-        return mix(np.add.reduceat((letters + np.uint64(1)) * powers[inside], upto - sizes) ^ sizes.astype(np.uint64) * OTHER)
+        return range_hashes(self.raw, self.starts, self.ends)
 
 
 def batches_of(texts: list[str], size: int = 1 << 21):
