@@ -17,9 +17,11 @@ documents link when 100 * intersection >= 75 * union. Equal sets are one *class*
    (in a group of near copies, the one nearest to the original). Verified links give
    components. Then only pairs across components remain: of each shingle's classes, those
    outside its most common component meet the others of another component.
-5. Pairs pass the length filter, the positional filter at their first common prefix shingle,
-   and the suffix filter (a bound from the kept shingles of the rest), then are verified once,
-   by the exact size of the intersection.
+5. Pairs pass the length filter, the positional filter (at the first shingle that a linked pair
+   shares, what follows in both must suffice) and the suffix filter, then are verified once, by
+   the exact size of the intersection. The suffix filter bounds the intersection by parities:
+   each class has 512 bits, bit *k* telling whether an odd number of its kept shingles fall on
+   *k*; each bit in which two classes differ needs a shingle that they don't share.
 
 Components come from rounds of large-star and small-star steps on the links.
 """
@@ -40,6 +42,8 @@ from tapeloom.llm.words import OTHER, STEP, Words, batches_of, mix
 WORDS = 5
 #: Similarity of at least 75 / 100.
 PERCENT = 75
+#: 64-bit words of parities per class.
+PARITIES = 8
 #: Shingles that a map task holds before it sends them.
 HELD = 1 << 22
 
@@ -116,8 +120,8 @@ def _dealt(documents: DataFrame, buckets: int) -> DataFrame:
                     part = order[start:end]
                     who, count = np.unique(owner[part], return_counts=True)
                     classes = np.rec.fromarrays([names[who], sizes[who], count], dtype="<u8,<u4,<u4")
-                    # Seven of eight bytes: the bucket tells the top bits.
-                    rows.append((b, b"", classes.tobytes(), np.ascontiguousarray(hashes[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()))
+                    # Six of eight bytes and the bucket: 54 bits or more.
+                    rows.append((b, b"", classes.tobytes(), np.ascontiguousarray(hashes[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()))
             yield pd.DataFrame(rows, columns=["bucket", "docs", "classes", "grams"])
 
         for frame in batches:
@@ -149,11 +153,11 @@ def _shared(dealt: DataFrame, buckets: int, width: int) -> DataFrame:
         bucket = int(frame["bucket"].iloc[0])
         rows = [(0, docs, b"") for docs in frame["docs"] if docs]
         classes = np.concatenate([np.frombuffer(x, "<u8,<u4,<u4") for x in frame["classes"]])
-        packed = np.frombuffer(b"".join(frame["grams"]), np.uint8).reshape(-1, 7)
+        packed = np.frombuffer(b"".join(frame["grams"]), np.uint8).reshape(-1, 6)
         grams = np.zeros((len(packed), 8), np.uint8)
-        grams[:, :7] = packed
+        grams[:, :6] = packed
         gram = grams.reshape(-1).view("<u8")
-        gram = gram | (np.uint64(bucket) << bits & np.uint64(0xFF << 56))
+        gram = gram | (np.uint64(bucket) << bits & np.uint64(0xFFFF << 48))
         name, size = np.repeat(classes["f0"], classes["f2"]), np.repeat(classes["f1"], classes["f2"])
         order = np.lexsort((name, gram))
         gram, name, size = gram[order], name[order], size[order]
@@ -193,16 +197,14 @@ def _classes(shared: DataFrame, width: int) -> DataFrame:
         central = np.add.reduceat(np.log2(df), at) / n
         keep = np.flatnonzero(lone < prefix_length(n))
         grams = np.ascontiguousarray(found["f2"]).view(np.int64)
+        row = np.repeat(np.arange(len(at)), counts)
+        odd = np.bincount(row * (64 * PARITIES) + (grams & (64 * PARITIES - 1)), minlength=len(at) * 64 * PARITIES) & 1
+        parities = np.packbits(odd.astype(bool)).view(np.int64).reshape(-1, PARITIES)[keep]
         own = pd.Series([grams[at[i] : at[i] + counts[i]] for i in keep], dtype=object)
-        return pd.DataFrame({"class": np.ascontiguousarray(name[at][keep]).view(np.int64), "n": n[keep], "lone": lone[keep], "central": central[keep], "grams": own})
+        return pd.DataFrame({"class": np.ascontiguousarray(name[at][keep]).view(np.int64), "n": n[keep], "lone": lone[keep], "central": central[keep], **{f"p{k}": parities[:, k] for k in range(PARITIES)}, "grams": own})
 
     rows = shared.filter("octet_length(shared) > 0").select("home", "shared").repartition(width, "home")
-    return rows.groupBy("home").applyInPandas(gather, "class bigint, n bigint, lone bigint, central double, grams array<bigint>")
-
-
-def _needed(a: str, b: str) -> str:
-    """The least intersection of linked sets of these sizes."""
-    return f"ceil(({PERCENT} * ({a} + {b})) / {100 + PERCENT})"
+    return rows.groupBy("home").applyInPandas(gather, f"class bigint, n bigint, lone bigint, central double, {', '.join(f'p{k} bigint' for k in range(PARITIES))}, grams array<bigint>")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -238,33 +240,39 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots.select("node", F.col("node").alias("label")))
 
 
-def _links(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links, tested pairs) between classes, by the two steps described above."""
-    prefix = "cast(n - ceil(%d * n / 100) + 1 - lone as int)" % PERCENT
-    postings = classes.select("class", "n", "lone", "central", F.posexplode(F.expr(f"slice(grams, 1, least(size(grams), {prefix}))")).alias("pos", "gram"))
-    hub = F.max(F.struct("central", "class", "n", "lone")).alias("hub")
-    hubs = postings.groupBy("gram").agg(hub, F.count("*").alias("m")).filter("m > 1").select("gram", "hub", "m")
-    near = f"least(n, hub.n) * 100 >= {PERCENT} * greatest(n, hub.n) and least(n - lone, hub.n - hub.lone) >= {_needed('n', 'hub.n')}"
-    pairs = postings.join(hubs, "gram").filter("class <> hub.class").filter(near)
-    tested = cut(pairs.select(F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")).distinct())
+def _may_link(a: str, b: str) -> str:
+    """The filters, for two classes at a common shingle; ``a`` and ``b`` are prefixes of column names."""
+    n, m = f"{a}n", f"{b}n"
+    needed = f"ceil(({PERCENT} * ({n} + {m})) / {100 + PERCENT})"
+    differ = " + ".join(f"bit_count({a}p{k} ^ {b}p{k})" for k in range(PARITIES))
+    return (
+        f"least({n}, {m}) * 100 >= {PERCENT} * greatest({n}, {m})"
+        f" and least({n} - {a}lone - {a}pos, {m} - {b}lone - {b}pos) >= {needed}"
+        f" and {n} - {a}lone + {m} - {b}lone - ({differ}) >= 2 * {needed}"
+    )
+
+
+def _links(classes: DataFrame) -> DataFrame:
+    """Links (a, b) between classes, by the two steps described above: enough of them for the components."""
+    seen = ["class", "n", "lone", "pos", *[f"p{k}" for k in range(PARITIES)]]
+    prefix = f"cast(n - ceil({PERCENT} * n / 100) + 1 - lone as int)"
+    postings = classes.select("central", *[c for c in seen if c != "pos"], F.posexplode(F.expr(f"slice(grams, 1, least(size(grams), {prefix}))")).alias("pos", "gram"))
+    hubs = postings.groupBy("gram").agg(F.max(F.struct("central", *seen)).alias("hub"), F.count("*").alias("m")).filter("m > 1").select("gram", "hub.*")
+    hubs = hubs.select("gram", *[F.col(c).alias(f"h_{c}") for c in seen])
+    pairs = postings.join(hubs, "gram").filter("class <> h_class").filter(_may_link("", "h_"))
+    tested = cut(pairs.select(F.least("class", "h_class").alias("a"), F.greatest("class", "h_class").alias("b")).distinct())
     first = cut(_verified(tested, classes))
 
-    labels = components(first)
-    labelled = postings.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class")).drop("central")
+    labels = components(first).withColumnRenamed("node", "class")
+    labelled = postings.drop("central").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     by_label = labelled.groupBy("gram", "label").count().groupBy("gram").agg(F.max(F.struct("count", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
     mixed = labelled.join(by_label.select("gram", F.col("top.label").alias("top")), "gram")
-    odd = mixed.filter("label <> top").select("gram", *[F.col(c).alias(f"o_{c}") for c in ("class", "n", "lone", "pos", "label")])
+    odd = mixed.filter("label <> top").select("gram", *[F.col(c).alias(f"o_{c}") for c in (*seen, "label")])
     # A pair of odd classes comes up from both sides; it is kept where the first is the smaller.
-    across = odd.join(mixed, "gram").filter(
-        f"label <> o_label and (label = top or class > o_class) and least(n, o_n) * 100 >= {PERCENT} * greatest(n, o_n)"
-        f" and least(n - lone, o_n - o_lone) >= {_needed('n', 'o_n')}"
-    )
-    rest = F.least(F.expr("n - lone - pos"), F.expr("o_n - o_lone - o_pos"))
-    met = across.groupBy(F.least("class", "o_class").alias("a"), F.greatest("class", "o_class").alias("b")).agg(F.max(rest).alias("rest"), F.max(F.expr(_needed("n", "o_n"))).alias("needed"))
-    # The largest rest belongs to the first common shingle: earlier places leave more.
-    open_pairs = met.filter("rest >= needed").select("a", "b").join(tested, ["a", "b"], "left_anti")
-    second = cut(_verified(open_pairs, classes))
-    return first.union(second), labels
+    across = odd.join(mixed, "gram").filter("label <> o_label and (label = top or class > o_class)").filter(_may_link("", "o_"))
+    met = across.select(F.least("class", "o_class").alias("a"), F.greatest("class", "o_class").alias("b")).distinct()
+    second = cut(_verified(met.join(tested, ["a", "b"], "left_anti"), classes))
+    return first.union(second)
 
 
 def join(documents: DataFrame) -> DataFrame:
@@ -276,7 +284,7 @@ def join(documents: DataFrame) -> DataFrame:
     gives no rows; other columns are ignored.
     """
     width = shuffle_width(documents.sparkSession)
-    buckets = 1 << max(6, (2 * width - 1).bit_length())
+    buckets = 1 << max(6, (width - 1).bit_length())
     packed = cut(_shared(_dealt(documents, buckets), buckets, buckets))
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -287,8 +295,7 @@ def join(documents: DataFrame) -> DataFrame:
 
     docs = packed.filter("octet_length(docs) > 0").select("docs").mapInPandas(unpack, "doc_id bigint, n_shingles bigint, class bigint")
     classes = cut(_classes(packed, buckets))
-    links, _ = _links(classes)
-    labels = components(links)
+    labels = components(_links(classes))
     # The smallest document of each class, then of each component; a component is named by it.
     smallest = docs.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least_doc"))
     labelled = smallest.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
