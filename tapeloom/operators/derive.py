@@ -6,12 +6,14 @@ children. An optional attribute that is there but malformed rejects the shape to
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tapeloom.functions.binary import let
 from tapeloom.functions.frame import as_int, attr, child_nodes, is_jid, root
 
 # What the enumerated attributes allow.
@@ -62,26 +64,43 @@ def valid(value: Column, kind: str | list[str]) -> Column:
     return value["text"].isin(*kind)
 
 
-def _holds(of: Column, required: dict, optional: dict) -> list[Column]:
-    must = [attr(of, k).isNotNull() & valid(attr(of, k), t) for k, t in required.items()]
-    may = [attr(of, k).isNull() | F.coalesce(valid(attr(of, k), t), F.lit(False)) for k, t in optional.items()]
+#: All attributes that some shape looks at on the root.
+KEYS = tuple(sorted({k for s in SHAPES for k in (*s.required, *s.optional, *(s.guard or ())[:1])}))
+
+
+def _holds(look: Callable[[str], Column], required: dict, optional: dict) -> list[Column]:
+    must = [look(k).isNotNull() & valid(look(k), t) for k, t in required.items()]
+    may = [look(k).isNull() | F.coalesce(valid(look(k), t), F.lit(False)) for k, t in optional.items()]
     return must + may
 
 
-def _matches(found: Column, shape: Shape) -> Column:
-    top = root(found)
-    tests = [top["tag"] == shape.tag]
+#: Child nodes that some shape asks for.
+CHILDREN = tuple(sorted({t for s in SHAPES for t in s.children}))
+
+
+def _matches(seen: Column, shape: Shape) -> Column:
+    look = lambda k: seen[f"a{KEYS.index(k)}"]
+    tests = [seen["tag"] == shape.tag]
     if shape.guard:
-        tests.append(attr(top, shape.guard[0])["text"] == shape.guard[1])
-    tests += _holds(top, shape.required, shape.optional)
+        tests.append(look(shape.guard[0])["text"] == shape.guard[1])
+    tests += _holds(look, shape.required, shape.optional)
     for tag, required in shape.children.items():
-        child = F.get(child_nodes(found, tag), F.lit(0))
-        tests += [child.isNotNull(), *_holds(child, required, {})]
+        child = seen[f"c{CHILDREN.index(tag)}"]
+        tests += [child.isNotNull(), *_holds(lambda k, child=child: attr(child, k), required, {})]
     return reduce(lambda a, b: a & b, [F.coalesce(t, F.lit(False)) for t in tests])
 
 
 def derive(found: Column) -> Column:
     """(shape, error) of parsed frames; one of the two is null."""
-    shape = F.coalesce(*[F.when(_matches(found, s), F.lit(s.name)) for s in SHAPES])
-    error = F.when(found["error"].isNotNull(), F.concat(F.lit("parse:"), found["error"])).when(~root(found)["tag"].isin(*TAGS), "unknown_stanza").when(shape.isNull(), "no_matching_shape")
-    return F.struct(F.when(found["error"].isNull(), shape).alias("shape"), error.alias("error"))
+    # Each attribute is looked up once, in a row of its own that all shapes read.
+    # (No lambda below may see the parser's call itself, only columns that it made.)
+    first = [F.get(child_nodes(found, t), F.lit(0)).alias(f"c{i}") for i, t in enumerate(CHILDREN)]
+    looked_up = lambda x: F.struct(x["top"]["tag"].alias("tag"), *[attr(x["top"], k).alias(f"a{i}") for i, k in enumerate(KEYS)], *[x[f"c{i}"].alias(f"c{i}") for i in range(len(CHILDREN))])
+    seen = let(F.struct(root(found).alias("top"), *first), looked_up)
+
+    def decide(s: Column) -> Column:
+        shape = F.coalesce(*[F.when(_matches(s, x), F.lit(x.name)) for x in SHAPES])
+        return let(shape, lambda name: F.struct(name.alias("shape"), F.when(~s["tag"].isin(*TAGS), "unknown_stanza").when(name.isNull(), "no_matching_shape").alias("error")))
+
+    failed = F.struct(F.lit(None).cast("string").alias("shape"), F.concat(F.lit("parse:"), found["error"]).alias("error"))
+    return F.when(found["error"].isNotNull(), failed).otherwise(let(seen, decide))

@@ -16,7 +16,7 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
-    settings |= {k.replace("_", "."): v for k, v in conf.items()}
+    settings |= {k if "." in k else k.replace("_", "."): v for k, v in conf.items()}
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
