@@ -78,19 +78,26 @@ _TOKEN = re.compile(r"\s*(?:(\d+)|('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(\w+)
 _WORDS = {"and", "or", "not", "in", "if", "else"}
 
 
+def _closed(text: str) -> str:
+    if re.search(r"\{[{%#]", text):
+        raise TemplateError("a tag has no end")
+    return text
+
+
 def _pieces(source: str) -> Iterator[tuple[str, str]]:
     """(kind, body): kind is text, ``{{`` or ``{%``; white space beside ``-`` is gone."""
     at, trim = 0, False
     for m in _TAG.finditer(source):
         if {"{{": "}}", "{%": "%}", "{#": "#}"}[m[1]] != m[5]:
             raise TemplateError(f"{m[1]} ends with {m[5]}")
-        text = source[at : m.start()]
+        text = _closed(source[at : m.start()])
         text = text.lstrip() if trim else text
         yield "text", text.rstrip() if m[2] else text
         if m[1] != "{#":
             yield m[1], m[3].strip()
         at, trim = m.end(), bool(m[4])
-    yield "text", source[at:].lstrip() if trim else source[at:]
+    text = _closed(source[at:])
+    yield "text", text.lstrip() if trim else text
 
 
 class _Expression:

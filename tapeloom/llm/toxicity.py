@@ -9,8 +9,8 @@ only presence counts. The score of a text with terms T is the logistic function
 so that a pair such as an insult and a mention of a group can weigh more than both apart.
 The pair sum costs one pass: half of |sum v|^2 - sum |v|^2.
 
-Of all terms, the ``keep`` that tell the labels apart best in the training rows (by the
-chi-square statistic) get weights; the others have none. Training is minibatch Adam on the
+Of all terms, the ``keep`` that tell the labels apart best in the training rows, with a chi-square
+statistic of ``least_chi`` or more, get weights; the others have none. Training is minibatch Adam on the
 driver over at most ``train_rows`` labelled rows, sent as lists of kept terms.
 """
 
@@ -88,14 +88,14 @@ class Machine:
         return number
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, *, factors: int = 4, epochs: int = 30, batch: int = 256, seed: int = 5) -> Machine:
+def train(rows: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, *, factors: int = 4, steps: int = 2000, batch: int = 64, seed: int = 5) -> Machine:
     """Fit on rows of places of kept terms and 0/1 labels."""
     random = np.random.default_rng(seed)
     share = (labels.sum() + 0.5) / (len(labels) + 1)
     machine = Machine(terms, float(np.log(share / (1 - share))), np.zeros(len(terms)), random.normal(0, 0.01, (len(terms), factors)))
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (machine.w, machine.v, np.zeros(1))]
     step = 0
-    for _ in range(epochs):
+    for _ in range(max(8, -(-steps * batch // len(rows)))):  # small samples are gone through more often
         order = random.permutation(len(rows))
         for at in range(0, len(order), batch):
             chosen = order[at : at + batch]
@@ -125,7 +125,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, train_rows: int = 24_000, keep: int = 4096) -> Machine | None:
+def fit(documents: DataFrame, labels: DataFrame, *, train_rows: int = 24_000, keep: int = 4096, least_chi: float = 20.0) -> Machine | None:
     """A machine from labelled documents outside the held-out third; None without labels of both kinds."""
     marked = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).filter(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     chosen = sampled(marked.groupBy("doc_id").agg(F.max("label").alias("label")), "doc_id", train_rows)
@@ -145,9 +145,9 @@ def fit(documents: DataFrame, labels: DataFrame, *, train_rows: int = 24_000, ke
     if not 0 < ones < n:
         return None
     seen, marked_seen = F.col("seen"), F.col("marked")
-    chi = (marked_seen * n - seen * ones) ** 2 / (seen * (n - seen + 1e-9) * ones * (n - ones))
+    chi = n * (marked_seen * n - seen * ones) ** 2 / (seen * (n - seen + 1e-9) * ones * (n - ones))
     counts = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("seen"), F.sum("label").alias("marked"))
-    best = counts.filter(seen >= 3).orderBy(chi.desc(), "term").limit(keep).select("term").toPandas()["term"].to_numpy()
+    best = counts.filter((seen >= 3) & (chi >= least_chi)).orderBy(chi.desc(), "term").limit(keep).select("term").toPandas()["term"].to_numpy()
     kept = np.sort(best.astype(np.int64))
     if not len(kept):
         return None
