@@ -6,6 +6,8 @@ that encodes or decodes wrongly differs.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +16,9 @@ from tapeloom.functions import envelope, frame, payload
 from tapeloom.operators import capability, compare, sequence
 from tapeloom.operators.derive import SHAPES, derive
 from tapeloom.plans import views
+from tapeloom.session import shared_folder
+from tapeloom.sources import recording
+from tapeloom.streaming.stateful import dedup_stream, join_stream
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -456,3 +461,51 @@ def harvest_addresses(spark, sf_dir):
     seen = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("address"), F.lit(False).alias("seeded"))
     found = seeded.unionByName(seen).groupBy("address").agg(F.bool_or("seeded").alias("seeded"), F.count("*").alias("sightings"))
     return found.join(store, "address", "left_semi")
+
+
+# --- containers and streams --------------------------------------------------
+
+
+@query(f"WITH {_W} SELECT session, 'complete' AS integrity, count(*) + 1 AS found, count(*) + 1 AS claimed, 1 AS skipped, 'baseline' AS note FROM w GROUP BY session")
+def recording_round_trip(spark, sf_dir):
+    """Each session as a recording, with one record of an unknown kind; written, read back and walked."""
+    rows = views.enveloped(spark, sf_dir).select(F.col("session").alias("recording"), "ord", F.lit(0).alias("kind"), F.col("envelope").alias("payload"))
+    odd = rows.groupBy("recording").agg((F.max("ord") + 1).alias("ord")).select("recording", "ord", F.lit(9).alias("kind"), F.lit(b"?").alias("payload"))
+    path = f"{shared_folder(spark)}/recordings-{uuid.uuid4().hex}"
+    recording.write_recordings(rows.unionByName(odd), path, {"note": b"baseline"})
+    back = recording.read_tables(spark, path)
+    return back.select(F.col("path").cast("bigint").alias("session"), "integrity", "found", "claimed", F.col("skipped").cast("int").alias("skipped"), recording.digest_text(recording.meta_value(F.col("meta"), "note")).alias("note"))
+
+
+def _drained(spark, made: DataFrame, name: str) -> DataFrame:
+    """All that a stream of the table gives, through a Parquet sink in the shared folder."""
+    base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    query = made.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{base}/out")
+
+
+def _streamed(spark, sf_dir, name: str) -> DataFrame:
+    path = f"{sf_dir}/{name}.parquet"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # As a pattern, since a stream's plain path must be a folder and a table may be one file.
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/[{name[0]}]{name[1:]}.parquet")
+
+
+@query(SQL["dedup_first_seen"].replace("SELECT ord, CASE", "SELECT session, ord, CASE"))
+def stream_dedup(spark, sf_dir):
+    """The stream of events through the stateful form, with a window that no session fills."""
+    rows = views.stanza_rows(_streamed(spark, sf_dir, "events"))
+    return _drained(spark, dedup_stream(rows, 1 << 30), "dedup")
+
+
+@query()
+def stream_joiner(spark, sf_dir):
+    """Messages of the stream and their payloads, which come right behind; every third never comes."""
+    rows = views.stanza_rows(_streamed(spark, sf_dir, "events")).filter("tag = 'message'")
+    o = F.col("ord")
+    none = lambda kind: F.lit(None).cast(kind)
+    frame_row = F.struct((o * 2).alias("arrival"), F.lit("frame").alias("event"), o.alias("ord"), o.cast("string").alias("id"), F.lit(1).alias("slots"), none("int").alias("slot"), none("string").alias("payload"))
+    payload_row = F.struct((o * 2 + 1).alias("arrival"), F.lit("payload").alias("event"), none("bigint").alias("ord"), o.cast("string").alias("id"), none("int").alias("slots"), F.lit(0).alias("slot"), F.col("from_user").cast("string").alias("payload"))
+    line = rows.select("session", F.explode(F.when(o % 3 != 0, F.array(frame_row, payload_row)).otherwise(F.array(frame_row))).alias("x")).select("session", "x.*")
+    return _drained(spark, join_stream(line, 64), "join")

@@ -18,10 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stanzas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``ord, session, tag, direction, id, from_user, t`` from events."""
+    return stanza_rows(table(spark, sf_dir, "events"))
+
+
+def stanza_rows(events: DataFrame) -> DataFrame:
+    """``ord, session, tag, direction, id, from_user, t`` from events, a table or a stream."""
     kind = F.col("event_type")
     tag = F.when(kind == "view", "receipt").when(kind == "click", "ack").when(kind == "purchase", "message").when(kind == "error", "call").otherwise("presence")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("ord"),
         (F.col("user_id") % 8).alias("session"),
         tag.alias("tag"),

@@ -64,7 +64,10 @@ class _Join(StatefulProcessor):
         yield pd.DataFrame(out, columns=["session", "ord", "slot", "payload", "status"])
 
     def _step(self, queue: list[dict], r) -> list[dict]:
-        if r.event == "frame":
+        if r.event == "flush":  # the end of a session: all that waits leaves
+            for q in queue:
+                q["done"] = True
+        elif r.event == "frame":
             for q in queue:
                 q["age"] += 1
                 q["done"] = q["done"] or q["age"] > self.lookahead or q["id"] == r.id
@@ -83,7 +86,7 @@ class _Join(StatefulProcessor):
 def join_stream(timeline: DataFrame, lookahead: int = LOOKAHEAD) -> DataFrame:
     """Frames joined with payloads, in order: ``session, ord, slot, payload, status``.
 
-    ``timeline`` has ``session, arrival, event (frame or payload), ord, id, slots, slot, payload``. A
+    ``timeline`` has ``session, arrival, event (frame, payload or flush), ord, id, slots, slot, payload``. A
     repeated id ends the earlier wait; a payload for no waiting stanza is dropped. The state is one
     queue per session: at most ``lookahead`` stanzas behind the head wait.
     """

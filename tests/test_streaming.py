@@ -33,6 +33,9 @@ def test_join_stream_keeps_order_and_bound(spark, tmp_path):
         (1, 8, f, 5, "y", 0, None, None),
         (1, 9, f, 6, "z", 0, None, None),
         (1, 10, p, None, "c", None, 0, "late"),
+        (1, 11, f, 7, "e", 2, None, None),
+        (1, 12, p, None, "e", None, 1, "E1"),
+        (1, 13, "flush", None, None, None, None, None),
     ]
     rows = spark.createDataFrame(line, "session bigint, arrival bigint, event string, ord bigint, id string, slots int, slot int, payload string")
     rows.coalesce(1).write.parquet(str(tmp_path / "one"))
@@ -40,4 +43,4 @@ def test_join_stream_keeps_order_and_bound(spark, tmp_path):
     q = join_stream(stream, 2).writeStream.format("memory").queryName("j").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = {(r["ord"], r["slot"]): (r["payload"], r["status"]) for r in spark.table("j").select(F.col("ord"), "slot", "payload", "status").collect()}
-    assert got == {(1, 0): ("A0", "ok"), (1, 1): ("A1", "ok"), (2, 0): ("B", "ok"), (3, 0): (None, "unobserved")}
+    assert got == {(1, 0): ("A0", "ok"), (1, 1): ("A1", "ok"), (2, 0): ("B", "ok"), (3, 0): (None, "unobserved"), (7, 0): (None, "unobserved"), (7, 1): ("E1", "ok")}
