@@ -122,7 +122,7 @@ def following(ids: DataFrame) -> DataFrame:
     ranges, one row for each partition, are linked by a second window.
     """
     width = max(2, shuffle_width(ids.sparkSession))
-    ranged = cut(ids.select("doc_id").dropna().distinct().repartitionByRange(width, "doc_id").withColumn("range", F.spark_partition_id()))
+    ranged = cut(ids.select("doc_id").filter("doc_id is not null").distinct().repartitionByRange(width, "doc_id").withColumn("range", F.spark_partition_id()))
     within = W.partitionBy("range").orderBy("doc_id")
     ends = ranged.groupBy("range").agg(F.max("doc_id").alias("top"))
     across = W.orderBy("range")
@@ -154,10 +154,11 @@ def edited_likeness(documents: DataFrame) -> DataFrame:
     chain = following(known.select("doc_id"))
     next_known = own.select(F.col("doc_id").alias("next_id"), F.col("packed").alias("next_packed"))
     wanted = cut(chain.join(asked, "doc_id").join(next_known, "next_id").select("doc_id", "next_id", "k", "next_packed"))
-    head = heads.select(F.col("doc_id").alias("next_id"), F.col("text").alias("next_text"))
-    sent = head.join(wanted, "next_id").select("doc_id", "next_packed", F.substring("next_text", F.lit(1), F.col("k")).alias("head"))
-    k = F.floor(F.length("text") / 3).cast("int")
-    edited = docs.join(sent, "doc_id").withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - k), F.substring("head", F.lit(1), k)))
+    # Both joins name the same columns of the texts, so one shuffle of them serves both.
+    sent = heads.alias("h").join(wanted.alias("w"), F.col("h.doc_id") == F.col("w.next_id")).select("w.doc_id", "w.next_packed", F.substring("h.text", F.lit(1), F.col("w.k")).alias("head"))
+    k = F.floor(F.length("d.text") / 3).cast("int")
+    whole = F.concat(F.substring("d.text", F.lit(1), F.length("d.text") - k), F.substring("s.head", F.lit(1), k))
+    edited = docs.alias("d").join(sent.alias("s"), F.col("d.doc_id") == F.col("s.doc_id")).select("d.doc_id", "d.text", "s.next_packed", whole.alias("edited"))
     done = edited.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("_text"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("edited_packed"), "next_packed")
     if counts["n"] > counts["ids"]:
         done = done.join(docs.select(F.sha2("text", 256).alias("_text"), fingerprint(F.col("text")).alias("packed")).dropDuplicates(["_text"]), "_text")
