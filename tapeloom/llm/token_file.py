@@ -345,8 +345,8 @@ def encoder_of(path: str, end_id: int) -> PieceEncoder:
 def write_shards(documents: DataFrame, path: str, tokenizer_path: str, *, end_id: int = 2, tokens_per_shard: int = 1 << 20) -> None:
     """Encode every whole text and write shards, in ascending ``doc_id`` order, as a table at ``path``.
 
-    Defined cases: a null or empty text has the end id alone; a null ``doc_id`` is refused by an
-    error; rows of one ``doc_id`` stay apart and go by text; an empty table writes an empty table;
+    Defined cases: a null or empty text has the end id alone; rows of a null ``doc_id`` are left out,
+    as they have no place in the order; rows of one ``doc_id`` stay apart and go by text; an empty table writes an empty table;
     a text longer than a shard makes its shard longer; other columns are ignored. Shards are named by
     the first document of their task and a number within it, which is also their order.
     """
@@ -375,7 +375,7 @@ def write_shards(documents: DataFrame, path: str, tokenizer_path: str, *, end_id
             yield shard()
 
     spark = documents.sparkSession
-    rows = documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.raise_error(F.lit("doc_id is null")).cast("bigint")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter("doc_id is not null")
     ordered = rows.repartitionByRange(max(2, shuffle_width(spark)), "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInPandas(encode, SHARD_SCHEMA).write.option("compression", "none").parquet(path)
 

@@ -378,7 +378,7 @@ def test_wavelet_matrix(n):
 def test_token_files(spark, documents, odd):
     path, plain = tokenizer()
     rows = sorted((r["doc_id"], r["text"] or "") for r in documents.unionByName(odd.filter("doc_id is not null").select(F.col("doc_id") + 10_000, "text").toDF("doc_id", "text"), allowMissingColumns=True).collect())
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs = spark.createDataFrame([*rows, (None, "no place")], "doc_id bigint, text string")
     got = sorted(tuple(r) for r in token_file.round_trip(docs, path, tokens_per_shard=4000).collect())
     want, start = [], 0
     for i, t in rows:
