@@ -6,16 +6,11 @@ children. An optional attribute that is there but malformed rejects the shape to
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tapeloom.functions.binary import let
-from tapeloom.functions.frame import as_int, attr, child_nodes, is_jid, root
-
 # What the enumerated attributes allow.
 MESSAGE_TYPES = "text media medianotify pay poll reaction event".split()
 RECEIPT_TYPES = "delivery read played inactive server-error sender read-self played-self peer_msg".split()
@@ -54,53 +49,52 @@ SHAPES = (
 TAGS = tuple(dict.fromkeys(s.tag for s in SHAPES))
 
 
-def valid(value: Column, kind: str | list[str]) -> Column:
-    if kind == "text":
-        return value["text"].isNotNull()
-    if kind == "int":
-        return as_int(value).isNotNull()
-    if kind == "jid":
-        return is_jid(value)
-    return value["text"].isin(*kind)
-
-
-#: All attributes that some shape looks at on the root.
+#: All attributes that some shape looks at on the root, and child nodes that some shape asks for.
 KEYS = tuple(sorted({k for s in SHAPES for k in (*s.required, *s.optional, *(s.guard or ())[:1])}))
+CHILDREN = tuple(sorted({t for s in SHAPES for t in s.children}))
 
 
-def _holds(look: Callable[[str], Column], required: dict, optional: dict) -> list[Column]:
-    must = [look(k).isNotNull() & valid(look(k), t) for k, t in required.items()]
-    may = [look(k).isNull() | F.coalesce(valid(look(k), t), F.lit(False)) for k, t in optional.items()]
-    return must + may
+def _attr(of: str, key: str) -> str:
+    return f"get(filter({of}.attrs, a -> a.key = '{key}'), 0)"
 
 
-#: Child nodes that some shape asks for.
-CHILDREN = tuple(sorted({t for s in SHAPES for t in s.children}))
+def _valid(value: str, kind: str | list[str]) -> str:
+    if kind == "text":
+        return f"{value}.text is not null"
+    if kind == "int":
+        return f"if({value}.kind = 'packed', {value}.text rlike '^[0-9]+$', {value}.text rlike '^[+-]?[0-9]+$') and try_cast({value}.text as bigint) is not null"
+    if kind == "jid":
+        return f"{value}.kind in ('jid', 'token') or ({value}.kind = 'bytes' and {value}.text rlike '^[^@:]*(:[0-9]{{1,5}})?@[^@]+$')"
+    return f"{value}.text in ({', '.join(repr(v) for v in kind)})"
 
 
-def _matches(seen: Column, shape: Shape) -> Column:
-    look = lambda k: seen[f"a{KEYS.index(k)}"]
-    tests = [seen["tag"] == shape.tag]
+def _rule(shape: Shape) -> str:
+    """The condition of a shape over the row ``s`` of looked-up attributes and children."""
+    look = lambda k: f"s.a{KEYS.index(k)}"
+    tests = [f"s.tag = '{shape.tag}'"]
     if shape.guard:
-        tests.append(look(shape.guard[0])["text"] == shape.guard[1])
-    tests += _holds(look, shape.required, shape.optional)
+        tests.append(f"{look(shape.guard[0])}.text = '{shape.guard[1]}'")
+    tests += [f"coalesce({_valid(look(k), t)}, false)" for k, t in shape.required.items()]
+    tests += [f"({look(k)} is null or coalesce({_valid(look(k), t)}, false))" for k, t in shape.optional.items()]
     for tag, required in shape.children.items():
-        child = seen[f"c{CHILDREN.index(tag)}"]
-        tests += [child.isNotNull(), *_holds(lambda k, child=child: attr(child, k), required, {})]
-    return reduce(lambda a, b: a & b, [F.coalesce(t, F.lit(False)) for t in tests])
-
-
-def derive(found: Column) -> Column:
-    """(shape, error) of parsed frames; one of the two is null."""
-    # Each attribute is looked up once, in a row of its own that all shapes read.
-    # (No lambda below may see the parser's call itself, only columns that it made.)
-    first = [F.get(child_nodes(found, t), F.lit(0)).alias(f"c{i}") for i, t in enumerate(CHILDREN)]
-    looked_up = lambda x: F.struct(x["top"]["tag"].alias("tag"), *[attr(x["top"], k).alias(f"a{i}") for i, k in enumerate(KEYS)], *[x[f"c{i}"].alias(f"c{i}") for i in range(len(CHILDREN))])
-    seen = let(F.struct(root(found).alias("top"), *first), looked_up)
-
-    def decide(s: Column) -> Column:
-        shape = F.coalesce(*[F.when(_matches(s, x), F.lit(x.name)) for x in SHAPES])
-        return let(shape, lambda name: F.struct(name.alias("shape"), F.when(~s["tag"].isin(*TAGS), "unknown_stanza").when(name.isNull(), "no_matching_shape").alias("error")))
-
-    failed = F.struct(F.lit(None).cast("string").alias("shape"), F.concat(F.lit("parse:"), found["error"]).alias("error"))
-    return F.when(found["error"].isNotNull(), failed).otherwise(let(seen, decide))
+        child = f"s.c{CHILDREN.index(tag)}"
+        tests += [f"{child} is not null", *[f"coalesce({_valid(_attr(child, k), t)}, false)" for k, t in required.items()]]
+    return " and ".join(tests)
+
+
+def derive(found: str) -> Column:
+    """(shape, error) of the column of parsed frames by that name; one of the two is null.
+
+    One expression in text: it is parsed at once, where hundreds of column calls would each take a trip.
+    """
+    attrs = ", ".join(f"'a{i}', {_attr('n', k)}" for i, k in enumerate(KEYS))
+    children = ", ".join(f"'c{i}', get(filter({found}.nodes, c -> c.depth = 1 and c.tag = '{t}'), 0)" for i, t in enumerate(CHILDREN))
+    seen = f"get(transform(array(get({found}.nodes, 0)), n -> named_struct('tag', n.tag, {attrs}, {children})), 0)"
+    shape = "case " + " ".join(f"when {_rule(s)} then '{s.name}'" for s in SHAPES) + " end"
+    known = ", ".join(f"'{t}'" for t in TAGS)
+    told = f"get(transform(array({seen}), s -> named_struct('shape', {shape}, 'known', s.tag in ({known}))), 0)"
+    return F.expr(
+        f"get(transform(array(named_struct('failed', {found}.error, 'd', {told})), x -> named_struct("
+        "'shape', if(x.failed is null, x.d.shape, null), "
+        "'error', case when x.failed is not null then concat('parse:', x.failed) when not x.d.known then 'unknown_stanza' when x.d.shape is null then 'no_matching_shape' end)), 0)"
+    )

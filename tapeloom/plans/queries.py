@@ -179,7 +179,7 @@ _SHAPE = """CASE tag
 
 def derived(spark, sf_dir) -> DataFrame:
     rows = parsed(spark, sf_dir)
-    return rows.select("ord", "session", "direction", frame.root(F.col("found"))["tag"].alias("tag"), derive(F.col("found")).alias("d")).select("ord", "session", "direction", "tag", "d.*")
+    return rows.select("ord", "session", "direction", frame.root(F.col("found"))["tag"].alias("tag"), derive("found").alias("d")).select("ord", "session", "direction", "tag", "d.*")
 
 
 @query(f"WITH {_W} SELECT ord, {_SHAPE} AS shape FROM w")

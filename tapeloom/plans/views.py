@@ -17,7 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows over all cores, where they come from fewer files than there are cores.
+
+    What follows makes many bytes from thin rows, so dealing out the rows first is the cheap place;
+    a table of many files stays as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def stanzas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``stanza_rows`` of the table."""
     return stanza_rows(table(spark, sf_dir, "events"))
 
 
@@ -63,7 +74,7 @@ def stanza_frame() -> Column:
 
 def framed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``stanzas`` and each one's ``frame``."""
-    return stanzas(spark, sf_dir).withColumn("frame", stanza_frame())
+    return spread(stanzas(spark, sf_dir)).withColumn("frame", stanza_frame())
 
 
 def enveloped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +113,7 @@ def document_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     depth = F.when(F.col("doc_id") % 10 > 6, F.col("doc_id") % 10).otherwise(F.col("doc_id") % 3)
     wrapped = F.aggregate(F.when(depth > 0, F.sequence(F.lit(1), depth.cast("int"))).otherwise(F.array().cast("array<int>")), bare, lambda acc, _: payload.bytes_field(37, payload.bytes_field(1, acc)))
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "text", depth.alias("depth"), wrapped.alias("payload"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", "text", depth.alias("depth"), wrapped.alias("payload"))
 
 
 def recordings(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:

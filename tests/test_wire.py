@@ -37,7 +37,7 @@ def test_same_meaning_in_other_bytes(spark):
     plain = frame.node("receipt", [("id", frame.text(F.lit("1"))), ("from", frame.text(F.lit("7@s.net"))), ("t", frame.text(F.lit("12")))])
     packed = frame.node("receipt", [("id", frame.digits(F.lit("1"))), ("from", frame.jid(F.lit("7"), "s.net")), ("t", frame.digits(F.lit("12")))])
     rows = spark.range(1).select(frame.nodes(plain).alias("a"), frame.nodes(packed).alias("b"))
-    got = rows.select(derive(F.col("a")).alias("a"), derive(F.col("b")).alias("b")).first()
+    got = rows.select(derive("a").alias("a"), derive("b").alias("b")).first()
     assert got["a"] == got["b"] and got["a"]["shape"] == "receipt"
 
 
