@@ -149,6 +149,17 @@ def test_decontamination(spark):
     assert {r["doc_id"] for r in many.collect()} == set(got)
 
 
+def test_decontamination_finds_copies_without_literal_words(spark):
+    items = ["What is 15 percent of 80?", "Who was Marie Curie's first husband?", "Who wrote Pride and Prejudice, Jane Austen or Emily Bronte?", "Where is Oslo?", "7 + 5 = ?", "In Oslo 12 Danes, 13 Finns and 14 Swedes ate 15 kg of Brie on Monday, 16 kg on Tuesday and 17 kg on Friday. Who ate 18?"]
+    texts = {(10 * i + k): made for i, t in enumerate(items) for k, made in enumerate([t, f"Some words before. \"{t}\" And some after.", f"so, {t.lower()}"])}
+    texts |= {100: "What is 15 percent of 81?", 101: "Where was Oslo?", 102: "7 - 5 = ?", 103: "7 and 5"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    bench = spark.createDataFrame([*enumerate(items), (50, "?! -")], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontamination.leaks(docs, bench).collect()}
+    assert set(got) == {(d, d // 10) for d in texts if d < 100}
+    assert all(r["covered_words"] == r["item_words"] and not r["reparameterised"] for r in got.values())
+
+
 def test_decontamination_finds_the_planted(spark, documents):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     want = {(d["doc_id"], i) for d in documents.collect() for i, t in items if t in d["text"]}
