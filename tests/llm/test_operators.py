@@ -130,6 +130,16 @@ def test_pii_trees_add_and_keep(spark):
     assert all(len(r["email"]) == 1 for r in found if r["doc_id"] < 300)
 
 
+def test_pii_trees_find_what_the_patterns_miss(spark):
+    rows = [(i, f"mail bob{i}@host{i}.com or call +1 (555) {100 + i % 900}-{1000 + i} now, item {i}-{i * 7919 % 10**7} ref 12 3/4 5-6 7") for i in range(300)]
+    planted = {1000: "eve [at] host.com", 1001: "eve.b(at)mail.host.org", 1002: "1 (555) 123-4567", 1003: None, 1004: None}
+    texts = {1003: "see item 7-1234567 and ref 12 3/4 5-6 7", 1004: "nothing to see"} | {i: f"write or call {x} please" for i, x in planted.items() if x}
+    docs = spark.createDataFrame([*rows, *texts.items()], "doc_id bigint, text string")
+    found = {r["doc_id"]: [s["text"] for s in r["added"]] for r in pii.find(docs, pii.train(docs)).collect()}
+    assert {i: found[i] for i in planted} == {i: [x] if x else [] for i, x in planted.items()}
+    assert not any(found[i] for i in range(300))
+
+
 # --- 4 -----------------------------------------------------------------------
 
 
