@@ -281,6 +281,26 @@ def test_secret_network(spark, odd):
     assert [r["text"] for r in secret_scan.redact(odd, None).collect()] == [r["text"] for r in odd.collect()]
 
 
+def test_secret_network_finds_what_the_patterns_miss(spark):
+    random.seed(10)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(random.randint(3, 14)))
+    key = lambda n: "".join(random.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    rows = [(i, f"{word()} token = \"{key(random.choice([20, 28, 60]))}\" {word()} {word()} order {random.randrange(10**13, 10**14)} {word()}") for i in range(400)]
+    planted = ["QWxhZGRpbjpvcGVuIHNlc2FtZQ==", "kdJwPqRmXzTbLvNcYhGs", key(90)]
+    docs = spark.createDataFrame([*rows, *[(1000 + k, f"{word()} {word()} {x} {word()}") for k, x in enumerate(planted)]], "doc_id bigint, text string")
+    got = {r["doc_id"]: [r["text"][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "model"] for r in secret_scan.scan(docs, secret_scan.train(docs)).collect()}
+    assert [got[1000 + k] for k in range(len(planted))] == [[x] for x in planted]
+    assert sum(len(got[i]) for i in range(400)) < 20
+
+
+def test_secret_candidates():
+    shown = lambda text: [text[a:b] for a, b in secret_scan.candidates(text)]
+    assert shown("see QWxhZGRpbjpvcGVuIHNlc2FtZQ==. and tR7xQ9. the passphrase is sesame, not others") == ["QWxhZGRpbjpvcGVuIHNlc2FtZQ==", "tR7xQ9", "sesame", "others"]
+    text = "x" * 50 + " " + "k" * 100 + " behind it"
+    seen = secret_scan.windows(text, 51, 151)
+    assert seen[-1].endswith(bytes([ord("k") | 128]) + b" behind it\0\0") and {len(w) for w in seen} == {secret_scan.WINDOW} and b"x" * 20 in seen[0]
+
+
 # --- 8 -----------------------------------------------------------------------
 
 
