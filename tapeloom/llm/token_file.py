@@ -226,12 +226,50 @@ class PieceTable:
             hashes, values, slots = hashes[~won], values[~won], (slots[~won] + 1) & self.mask
 
 
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places ``start .. start + size - 1`` of each range, one range after the other."""
+    upto = np.cumsum(sizes)
+    return np.repeat(starts - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0)
+
+
+class Ragged:
+    """Lists of numbers in one array that doubles as it fills."""
+
+    def __init__(self, dtype: type):
+        self.flat, self.starts, self.used, self.lists = np.zeros(1 << 12, dtype), np.zeros(1 << 12, np.int64), 0, 0
+
+    def __len__(self) -> int:
+        return self.lists
+
+    @staticmethod
+    def _grown(array: np.ndarray, size: int) -> np.ndarray:
+        return array if size <= len(array) else np.concatenate([array, np.zeros(max(size, 2 * len(array)) - len(array), array.dtype)])
+
+    def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat = self._grown(self.flat, self.used + len(values))
+        self.starts = self._grown(self.starts, self.lists + len(sizes) + 1)
+        self.flat[self.used : self.used + len(values)] = values
+        self.starts[self.lists + 1 : self.lists + len(sizes) + 1] = self.used + np.cumsum(sizes)
+        self.used, self.lists = self.used + len(values), self.lists + len(sizes)
+
+    def size_of(self, which: np.ndarray) -> np.ndarray:
+        return self.starts[which + 1] - self.starts[which]
+
+    def get(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists one after the other, and their sizes."""
+        starts = self.starts[which]
+        sizes = self.starts[which + 1] - starts
+        return self.flat[spread(starts, sizes)], sizes
+
+
 class PieceEncoder:
     """Encodes texts with a byte-level BPE of the tokenizers library, keeping the ids of pieces it has seen.
 
     A piece starts at a text's start, and at each single space or newline between two characters that
     are not white space: the pre-tokenizer's pattern always starts a new pre-token there, so a text's
-    ids are those of its pieces. Pieces are told apart by a 64-bit hash; at most ``keep`` are kept.
+    ids are those of its pieces. Pieces are looked up by a 64-bit hash and then compared byte by byte; one
+    that meets another piece's hash is encoded by itself. About ``keep`` pieces, or ``keep_bytes``
+    bytes of them, are kept before the store starts anew.
     """
 
     _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -242,10 +280,10 @@ class PieceEncoder:
     _WIDE = np.zeros(1 << 16, bool)
     _WIDE[[0xE19A, 0xE280, 0xE281, 0xE380]] = True
 
-    def __init__(self, path: str, end_id: int, keep: int = 1_500_000):
+    def __init__(self, path: str, end_id: int, keep: int = 1_500_000, keep_bytes: int = 1 << 26):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end_id, self.keep = Tokenizer.from_file(path), end_id, keep
+        self.tokenizer, self.end_id, self.keep, self.keep_bytes = Tokenizer.from_file(path), end_id, keep, keep_bytes
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose text starts with a space or newline
         self.opens[[i for x, i in vocabulary.items() if x[0] in "\u0120\u010a"]] = True
@@ -254,7 +292,7 @@ class PieceEncoder:
 
     def _forget(self) -> None:
         self.table = PieceTable(max(8, int(self.keep * 2.5).bit_length()))
-        self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.ids, self.letters = Ragged(np.uint32), Ragged(np.uint8)
 
     def _places(self, raw: np.ndarray) -> np.ndarray:
         """Where pieces start; 0xFF stands before each text, and three zeros before and after all."""
@@ -262,7 +300,9 @@ class PieceEncoder:
         wide = lambda i: self._WIDE[raw[i].astype(np.uint16) << 8 | raw[i + 1]]
         narrow = lambda i: (raw[i] == 0xC2) & ((raw[i + 1] == 0x85) | (raw[i + 1] == 0xA0))
         single = ~(self._SPACE[raw[at - 1]] | self._SPACE[raw[at + 1]] | wide(at - 3) | wide(at + 1) | narrow(at - 2) | narrow(at + 1))
-        return np.union1d(np.compress(single, at), np.flatnonzero(raw == 0xFF))
+        starts = raw == 0xFF
+        starts[np.compress(single, at)] = True
+        return np.flatnonzero(starts)
 
     def _hashes(self, raw: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         if sizes.max() > len(self.powers):
@@ -280,8 +320,8 @@ class PieceEncoder:
         h = (h ^ h >> np.uint64(29)) * self._STEP
         return np.maximum(h ^ h >> np.uint64(32), np.uint64(1))
 
-    def _learn(self, pieces: list[str]) -> list[int]:
-        """Adds the ids of pieces to the store; their order there, as numbers in ``pieces``."""
+    def _encoded(self, pieces: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """(order, ids, sizes): the ids of pieces, and their order there, as numbers in ``pieces``."""
         words = [p[1:].split() == [p[1:]] for p in pieces]
         order, sizes, flat = [], [], []
         for sign in " \n":
@@ -299,15 +339,13 @@ class PieceEncoder:
         ids = [x.ids for x in self.tokenizer.encode_batch_fast([pieces[i].removeprefix("\uffff") for i in chosen], add_special_tokens=False)]
         sizes.append(np.array([len(x) for x in ids], np.int64))
         flat.append(np.fromiter((i for x in ids for i in x), np.uint32))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes))])
-        self.flat = np.concatenate([self.flat, *flat])
-        return order + chosen
+        return order + chosen, np.concatenate(flat), np.concatenate(sizes)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, an end id after each text, and the number of ids of each text."""
         if not texts:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        if len(self.starts) > self.keep:
+        if len(self.ids) > self.keep or self.letters.used > self.keep_bytes:
             self._forget()
         whole = b"\0\0\0" + b"".join(b"\xff" + x.encode() for x in texts) + b"\0\0\0"
         raw = np.frombuffer(whole, np.uint8)
@@ -319,18 +357,43 @@ class PieceEncoder:
         if len(missing):
             fresh, where = np.unique(hashes[missing], return_index=True)
             where = missing[where]
-            # U+FFFF, as the mark of a start, keeps such a piece apart from one that starts with a space.
-            pieces = [("\uffff" if whole[a] == 0xFF else chr(whole[a])) + whole[a + 1 : b].decode() for a, b in zip(places[where].tolist(), (places + sizes)[where].tolist(), strict=True)]
-            first = len(self.starts) - 1
-            order = self._learn(pieces)
+            first = len(self.ids)
+            order, ids, counts = self._encoded(self._pieces(whole, places[where], sizes[where]))
+            self.ids.add(ids, counts)
+            self.letters.add(raw[spread(places[where[order]], sizes[where[order]])], sizes[where[order]])
             self.table.add(fresh[order], np.arange(first, first + len(fresh), dtype=np.int32))
             found[missing] = self.table.find(hashes[missing])
-        lengths = np.diff(self.starts)[found]
+        found = self._other_than_hash(raw, whole, places, sizes, found)
+        ids, lengths = self.ids.get(found)
         upto = np.cumsum(lengths)
-        ids = self.flat[np.repeat(self.starts[found] - upto + lengths, lengths) + np.arange(upto[-1])]
         ends = upto[np.append(np.flatnonzero(raw[places] == 0xFF)[1:], len(places)) - 1]
         return np.insert(ids, ends, self.end_id), np.diff(ends, prepend=0) + 1
 
+    @staticmethod
+    def _pieces(whole: bytes, places: np.ndarray, sizes: np.ndarray) -> list[str]:
+        # U+FFFF, as the mark of a start, keeps such a piece apart from one that starts with a space.
+        return [("\uffff" if whole[a] == 0xFF else chr(whole[a])) + whole[a + 1 : b].decode() for a, b in zip(places.tolist(), (places + sizes).tolist(), strict=True)]
+
+    def _other_than_hash(self, raw: np.ndarray, whole: bytes, places: np.ndarray, sizes: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """``found``, with pieces that differ from the stored ones of their hash encoded by themselves."""
+        same = self.letters.size_of(found) == sizes
+        if same.all():
+            # The pieces lie side by side, so their stored letters must be what stands between the marks.
+            differs = self.letters.get(found)[0] != raw[places[0] : len(raw) - 3]
+            same = ~np.logical_or.reduceat(differs, places - places[0]) if differs.any() else same
+        else:
+            at = np.flatnonzero(same)
+            equal = self.letters.get(found[at])[0] == raw[spread(places[at], sizes[at])]
+            same[at] = np.logical_and.reduceat(equal, np.cumsum(sizes[at]) - sizes[at]) if len(at) else same[at]
+        if not same.all():
+            at = np.flatnonzero(~same)
+            first = len(self.ids)
+            order, ids, counts = self._encoded(self._pieces(whole, places[at], sizes[at]))
+            self.ids.add(ids, counts)  # their hashes stay with the earlier pieces
+            self.letters.add(raw[spread(places[at[order]], sizes[at[order]])], sizes[at[order]])
+            found[at[order]] = np.arange(first, first + len(at))
+        return found
+
 
 _ENCODERS: dict[tuple[str, int], PieceEncoder] = {}
 

@@ -403,6 +403,16 @@ def test_token_pieces_are_the_tokenizer():
             assert own.tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
 
 
+def test_token_pieces_of_one_hash_stay_apart(monkeypatch):
+    path, plain = tokenizer()
+    monkeypatch.setattr(token_file.PieceEncoder, "_hashes", lambda self, raw, places, sizes: (sizes % 3 + 1).astype(np.uint64) << np.uint64(61))
+    encoder = token_file.PieceEncoder(path, 2)
+    texts = ["one two six\nten", "", "two one", "été one two", "six ten"]
+    for _ in range(2):
+        ids, lengths = encoder.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 3000])
 def test_wavelet_matrix(n):
     ids = np.random.default_rng(n).integers(0, 37, n).astype(np.uint32) * 1000
