@@ -8,6 +8,10 @@ Expressions have literals, names, ``a.b`` and ``a['b']`` on dictionaries and lis
 the table ``FILTERS``. There are no calls, no attributes of Python objects and no way to
 import, so a template can only read the values it is given.
 
+What a template can use up is bounded: ``*`` and ``%`` take whole numbers only, texts made by ``+``, filters
+or output stay under ``MAX_CHARS``, and tags and brackets nest ``MAX_NESTING`` deep at most. Whatever an
+expression does wrong with the values it is given is a ``TemplateError``.
+
 A template is read into a syntax tree of tuples, constants are folded (filters and
 branches included), adjacent literals are merged, and the tree becomes nested closures.
 Rendering appends pieces to a list and notes the span of each ``generation`` block in
@@ -28,6 +32,7 @@ from pyspark.sql import functions as F
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<|", "|>")
 _CONTROL = re.compile("|".join(re.escape(c[0]) + f"(?={re.escape(c[1:])})" for c in CONTROLS))
 _ESCAPED = re.compile(r"\\(.)", re.S)
+MAX_CHARS, MAX_NESTING = 1 << 28, 50
 
 #: Marks each turn with its role, and puts what the assistant says under the loss mask.
 TEMPLATE = """
@@ -112,7 +117,7 @@ class _Expression:
             kind = "number" if m[1] else "string" if m[2] else "word" if m[3] else "sign"
             self.items.append((kind, m[1] or m[2] or m[3] or m[4]))
             at = m.end()
-        self.at = 0
+        self.at = self.depth = 0
 
     def peek(self) -> str:
         return self.items[self.at][1] if self.at < len(self.items) else ""
@@ -133,7 +138,18 @@ class _Expression:
             raise TemplateError(f"unexpected {self.peek()!r}")
         return tree
 
+    def deeper(self, read):
+        self.depth += 1
+        if self.depth > MAX_NESTING:
+            raise TemplateError("an expression is nested too deep")
+        tree = read()
+        self.depth -= 1
+        return tree
+
     def choice(self):
+        return self.deeper(self.chosen)
+
+    def chosen(self):
         tree = self.either()
         if self.accept("if"):
             test = self.either()
@@ -153,7 +169,7 @@ class _Expression:
         return tree
 
     def negated(self):
-        return ("not", self.negated()) if self.accept("not") else self.compared()
+        return ("not", self.deeper(self.negated)) if self.accept("not") else self.compared()
 
     def compared(self):
         tree = self.summed()
@@ -210,7 +226,7 @@ class _Expression:
             self.take(")")
             return tree
         if found == "-":
-            return ("-", ("value", 0), self.single())
+            return ("-", ("value", 0), self.deeper(self.single))
         if kind == "word" and found not in _WORDS:
             return ("value", {"true": True, "false": False, "none": None}[found]) if found in ("true", "false", "none") else ("name", found)
         raise TemplateError(f"unexpected {found!r}")
@@ -219,7 +235,8 @@ class _Expression:
 def parse(source: str) -> tuple:
     """The syntax tree of a template: ``("block", [nodes])``."""
     pieces = list(_pieces(source))
-    at = 0
+    at = depth = 0
+    marked = False  # inside a generation block
 
     def block(*ends: str) -> tuple[tuple, str]:
         nonlocal at
@@ -242,6 +259,16 @@ def parse(source: str) -> tuple:
         return ("block", nodes), ""
 
     def statement(word: str, rest: str) -> tuple:
+        nonlocal depth
+        depth += 1
+        if depth > MAX_NESTING:
+            raise TemplateError("tags are nested too deep")
+        made = tag(word, rest)
+        depth -= 1
+        return made
+
+    def tag(word: str, rest: str) -> tuple:
+        nonlocal marked
         if word == "for":
             m = re.fullmatch(r"(\w+)\s+in\s+(.+)", rest, re.S)
             if not m:
@@ -259,7 +286,12 @@ def parse(source: str) -> tuple:
                 raise TemplateError(f"set {rest}")
             return ("set", name.strip(), _Expression(value).whole())
         if word == "generation":
-            return ("generation", block("endgeneration")[0])
+            if marked:
+                raise TemplateError("a generation block inside another")
+            marked = True
+            body = block("endgeneration")[0]
+            marked = False
+            return ("generation", body)
         raise TemplateError(f"no tag {word!r}")
 
     return block()[0]
@@ -267,11 +299,27 @@ def parse(source: str) -> tuple:
 
 # --- folding and compiling ---------------------------------------------------
 
+
+
+def _whole(x: Any) -> int:
+    if not isinstance(x, int) or abs(x) > 1 << 63:
+        raise TemplateError(f"{x!r:.40} is no whole number of 64 bits")
+    return x
+
+
+def _added(a: Any, b: Any) -> Any:
+    if isinstance(a, str) and isinstance(b, str):
+        if len(a) + len(b) > MAX_CHARS:
+            raise TemplateError("a text grows too long")
+        return a + b
+    return _whole(a) + _whole(b)
+
+
 _BINARY: dict[str, Callable[[Any, Any], Any]] = {
-    "+": lambda a, b: a + b,
-    "-": lambda a, b: a - b,
-    "*": lambda a, b: a * b,
-    "%": lambda a, b: a % b,
+    "+": _added,
+    "-": lambda a, b: _whole(a) - _whole(b),
+    "*": lambda a, b: _whole(a) * _whole(b),
+    "%": lambda a, b: _whole(a) % _whole(b),
     "==": lambda a, b: a == b,
     "!=": lambda a, b: a != b,
     "<": lambda a, b: a < b,
@@ -291,6 +339,15 @@ def _reach(value: Any, key: Any) -> Any:
     raise TemplateError(f"no item {key!r}")
 
 
+def _applied(operation: Callable, *values: Any) -> Any:
+    try:
+        return operation(*values)
+    except TemplateError:
+        raise
+    except (TypeError, ValueError, IndexError, KeyError, ZeroDivisionError) as e:
+        raise TemplateError(str(e)) from None
+
+
 def fold(tree: tuple) -> tuple:
     """The same template with its constant parts computed: values, filters, branches, literals side by side."""
     kind = tree[0]
@@ -307,13 +364,10 @@ def fold(tree: tuple) -> tuple:
         return ("block", nodes)
     parts = tuple(fold(x) if isinstance(x, tuple) else x for x in tree)
     constant = [x[1] for x in parts[1:] if isinstance(x, tuple) and x[0] == "value"]
-    try:
-        if kind in _BINARY and len(constant) == 2:
-            return ("value", _BINARY[kind](*constant))
-        if kind == "filter" and constant:
-            return ("value", FILTERS[parts[1]](constant[0]))
-    except (TypeError, ValueError, IndexError, ZeroDivisionError) as e:
-        raise TemplateError(str(e)) from None
+    if kind in _BINARY and len(constant) == 2:
+        return ("value", _applied(_BINARY[kind], *constant))
+    if kind == "filter" and constant:
+        return ("value", _applied(FILTERS[parts[1]], constant[0]))
     if parts[1:] and isinstance(parts[1], tuple) and parts[1][0] == "value":
         test = parts[1][1]
         if kind == "not":
@@ -334,8 +388,10 @@ class _Output:
         self.spans: list[tuple[int, int]] = []
 
     def add(self, text: str) -> None:
-        self.pieces.append(text)
         self.at += len(text)
+        if self.at > MAX_CHARS:
+            raise TemplateError("the output grows too long")
+        self.pieces.append(text)
 
 
 def _value(tree: tuple) -> Callable[[dict], Any]:
@@ -354,7 +410,7 @@ def _value(tree: tuple) -> Callable[[dict], Any]:
         return look
     if kind == "filter":
         apply, inner = FILTERS[tree[1]], _value(tree[2])
-        return lambda names: apply(inner(names))
+        return lambda names: _applied(apply, inner(names))
     if kind == "choice":
         test, then, other = map(_value, tree[1:])
         return lambda names: then(names) if test(names) else other(names)
@@ -369,7 +425,7 @@ def _value(tree: tuple) -> Callable[[dict], Any]:
     if kind == "item":
         return lambda names: _reach(left(names), right(names))
     apply = _BINARY[kind]
-    return lambda names: apply(left(names), right(names))
+    return lambda names: _applied(apply, left(names), right(names))
 
 
 def _run(tree: tuple) -> Callable[[dict, _Output], None]:
@@ -407,6 +463,8 @@ def _run(tree: tuple) -> Callable[[dict, _Output], None]:
 
     def loop(names: dict, out: _Output) -> None:
         found = items(names)
+        if not isinstance(found, (list, dict)):
+            raise TemplateError(f"for over {type(found).__name__}")
         inner = dict(names)
         for i, x in enumerate(found):
             inner[name] = x

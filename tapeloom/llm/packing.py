@@ -6,8 +6,11 @@ that hold the piece, the one of the least reduced cost, which is the cost of a b
 the room it leaves, as far as smaller pieces are still to come to fill it, at the lowest price per
 token of any length. In the end each bin shrinks to the least permitted length that holds it.
 
-Documents are dealt to groups of about ``docs_per_group`` by a hash of their id, and each group is
-packed by itself; the bins that a group leaves part empty are few against those it fills.
+Documents are dealt to groups of about ``docs_per_group``, or ``tokens_per_group`` tokens if that gives more
+groups, by a hash, and each group is packed
+by itself; the bins that a group leaves part empty are few against those it fills. Documents of
+one id and length are alike here: they are counted before the shuffle and dealt in lots of ``LOT``, so
+no id makes a group large.
 """
 
 from __future__ import annotations
@@ -19,7 +22,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeloom.llm.common import cut
+
 LENGTHS = (512, 1024, 2048, 4096)
+LOT = 1000
 SCHEMA = "doc_id bigint, part bigint, first_token bigint, n_tokens bigint, bin_id bigint, start bigint, capacity bigint, used bigint"
 
 
@@ -64,11 +70,11 @@ def n_tokens(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")) + 1
 
 
-def pack_documents(documents: DataFrame, *, tokens: Column | None = None, lengths: tuple[int, ...] = LENGTHS, cost: Callable[[int], float] = sequence_cost, docs_per_group: int = 20_000) -> DataFrame:
+def pack_documents(documents: DataFrame, *, tokens: Column | None = None, lengths: tuple[int, ...] = LENGTHS, cost: Callable[[int], float] = sequence_cost, docs_per_group: int = 20_000, tokens_per_group: int = 20_000_000) -> DataFrame:
     """Return a row per piece: ``doc_id, part, first_token, n_tokens, bin_id, start, capacity, used``.
 
     ``start`` is the piece's place in its bin, ``used`` what the bin holds, ``capacity`` its final
-    length; ``tokens`` gives the length of a document (words and an end mark if none is given).
+    length; ``tokens`` gives the length of a document (words and an end mark if none is given), from its row alone.
 
     Defined cases: a null or empty text has its end mark alone; a longer document than the greatest
     length is cut into parts of it and a rest; rows that share a ``doc_id`` (null included) are packed
@@ -77,11 +83,15 @@ def pack_documents(documents: DataFrame, *, tokens: Column | None = None, length
     """
     top = max(lengths)
     size = n_tokens(F.col("text")) if tokens is None else tokens
-    groups = max(1, -(-documents.count() // docs_per_group))
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), size.cast("bigint").alias("n")).withColumn("group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    counted = cut(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), size.cast("bigint").alias("n")).filter("n > 0").groupBy("doc_id", "n").agg(F.count("*").alias("times")))
+    total = counted.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("docs"), F.coalesce(F.sum(F.col("n") * F.col("times")), F.lit(0)).alias("tokens")).first()
+    groups = max(1, -(-total["docs"] // docs_per_group), -(-total["tokens"] // tokens_per_group))
+    lots = counted.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("times") - 1) / LOT))))
+    rows = lots.withColumn("times", F.least(F.lit(LOT), F.col("times") - F.col("lot") * LOT)).withColumn("group", F.pmod(F.xxhash64("doc_id", "n", "lot"), F.lit(groups)))
 
     def place(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame[frame["n"].fillna(0) > 0].sort_values(["doc_id", "n"], kind="stable")
+        frame = frame.sort_values(["doc_id", "n", "lot"], kind="stable")
+        frame = frame.loc[frame.index.repeat(frame["times"])]
         n = frame["n"].to_numpy(np.int64)
         parts = -(-n // top)
         doc = np.repeat(np.arange(len(n)), parts)
