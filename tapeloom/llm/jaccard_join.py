@@ -6,7 +6,9 @@ documents link when 100 * intersection >= 75 * union. Equal sets are one *class*
 64-bit hash of the set, so copies are never compared with each other.
 
 1. One pass over the texts hashes shingles and deals them, packed in arrays, to buckets by
-   hash. A class is sent once by each map task, however many copies the task has.
+   hash. A class is sent once by each map task, however many copies the task has. The number of
+   buckets follows from the bytes of the texts (``buckets_of``), so a bucket stays below some hundred
+   MB at any size; each is one task, which takes it range by range of the hashes.
 2. Each bucket counts the classes of each shingle and keeps shingles of two classes or more:
    a shingle of one class can be in no intersection, so what stays suffices for all counts.
 3. Per class, kept shingles are put in order rare-first: (number of classes, hash), after its
@@ -17,13 +19,22 @@ documents link when 100 * intersection >= 75 * union. Equal sets are one *class*
    (in a group of near copies, the one nearest to the original). Verified links give
    components. Then only pairs across components remain: of each shingle's classes, those
    outside its most common component meet the others of another component.
+   The two sides also meet by size (linked sets differ by a third at most), which splits what
+   a common shingle brings together.
 5. Pairs pass the length filter, the positional filter (at the first shingle that a linked pair
    shares, what follows in both must suffice) and the suffix filter, then are verified once, by
-   the exact size of the intersection. The suffix filter bounds the intersection by parities:
-   each class has 512 bits, bit *k* telling whether an odd number of its kept shingles fall on
-   *k*; each bit in which two classes differ needs a shingle that they don't share.
+   the exact size of the intersection. The suffix filter splits both sets, in the order of the
+   hashes, at probe places, three times over into ``PARTS`` parts: a shingle of one part can only be
+   shared with the same part of the other set, so the intersection is no larger than the sum of
+   the smaller parts. A sketch stands beside it: each class has 64 * ``PARITIES`` bits, bit *k*
+   telling whether an odd number of its kept shingles fall on *k*; each bit in which two classes
+   differ needs a shingle that they don't share.
 
 Components come from rounds of large-star and small-star steps on the links.
+
+What rests on hashes: among N different sets, two share a name with a chance of N * N / 2**65 (3 in 10,000
+for a hundred million sets). Shingles are told apart by 51 to 64 bits (48 and those of the bucket), so two
+sets of 500 shingles count one in common that isn't with a chance below 2e-10.
 """
 
 from __future__ import annotations
@@ -36,14 +47,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import cut, shuffle_width
+from tapeloom.llm.common import cut
 from tapeloom.llm.words import OTHER, STEP, Words, batches_of, mix
 
 WORDS = 5
 #: Similarity of at least 75 / 100.
 PERCENT = 75
-#: 64-bit words of parities per class.
-PARITIES = 8
+#: 64-bit words of parities per class; parts of the suffix filter, four to a word.
+PARITIES, PARTS = 6, 8
+SKETCH = tuple([f"p{k}" for k in range(PARITIES)] + [f"s{k}" for k in range(PARTS // 4)])
+#: Bytes of text per bucket: the most, and what makes it worth while to have more of the first ``FEW``.
+BUCKET_BYTES, LEAST_BYTES, FEW = 1 << 27, 1 << 18, 256
+#: Shingles of a bucket that are counted at a time.
+RANGE = 1 << 21
 #: Shingles that a map task holds before it sends them.
 HELD = 1 << 22
 
@@ -94,6 +110,37 @@ def prefix_length(n):
     return n - (PERCENT * n + 99) // 100 + 1
 
 
+def buckets_of(size: int) -> int:
+    """The number of buckets, a power of two, for so many bytes of text."""
+    wanted = max(size // BUCKET_BYTES, min(size // LEAST_BYTES, FEW), 8)
+    return 1 << int(wanted - 1).bit_length()
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers byte by byte: first all lowest bytes, so that compression sees the empty ones."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _packed(names: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> bytes:
+    return names.astype("<u8").tobytes() + _planes(sizes) + _planes(counts)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(data) // 16
+    low = np.frombuffer(data, np.uint8, 8 * n, 8 * n).reshape(2, 4, n)
+    return np.frombuffer(data, "<u8", n), *(np.ascontiguousarray(x.T).view("<u4").reshape(-1) for x in low)
+
+
+def _by_bucket(batches: Iterator[pd.DataFrame], column: str) -> Iterator[tuple[int, pd.DataFrame]]:
+    """(bucket, its rows) of a task's rows; a task has one bucket, unless partitions were joined."""
+    held: dict[int, list[pd.DataFrame]] = {}
+    for frame in batches:
+        for bucket, part in frame.groupby(column):
+            held.setdefault(int(bucket), []).append(part)
+    for bucket in sorted(held):
+        yield bucket, pd.concat(held.pop(bucket))
+
+
 def _dealt(documents: DataFrame, buckets: int) -> DataFrame:
     """Packed rows (bucket, docs, classes, grams): a pass over the texts.
 
@@ -119,9 +166,8 @@ def _dealt(documents: DataFrame, buckets: int) -> DataFrame:
                 if start < end:
                     part = order[start:end]
                     who, count = np.unique(owner[part], return_counts=True)
-                    classes = np.rec.fromarrays([names[who], sizes[who], count], dtype="<u8,<u4,<u4")
-                    # Six of eight bytes and the bucket: 54 bits or more.
-                    rows.append((b, b"", classes.tobytes(), np.ascontiguousarray(hashes[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()))
+                    # Six of eight bytes; the bucket tells some of the others.
+                    rows.append((b, b"", _packed(names[who], sizes[who], count), np.ascontiguousarray(hashes[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()))
             yield pd.DataFrame(rows, columns=["bucket", "docs", "classes", "grams"])
 
         for frame in batches:
@@ -145,20 +191,11 @@ def _dealt(documents: DataFrame, buckets: int) -> DataFrame:
     return rows.mapInPandas(deal, "bucket int, docs binary, classes binary, grams binary")
 
 
-def _shared(dealt: DataFrame, buckets: int, width: int) -> DataFrame:
+def _shared(dealt: DataFrame, buckets: int) -> DataFrame:
     """Packed rows (home, docs, shared): ``shared`` has (class, size, gram, classes of the gram), for grams of two or more."""
     bits = np.uint64(64 - (buckets.bit_length() - 1))
 
-    def count(frame: pd.DataFrame) -> pd.DataFrame:
-        bucket = int(frame["bucket"].iloc[0])
-        rows = [(0, docs, b"") for docs in frame["docs"] if docs]
-        classes = np.concatenate([np.frombuffer(x, "<u8,<u4,<u4") for x in frame["classes"]])
-        packed = np.frombuffer(b"".join(frame["grams"]), np.uint8).reshape(-1, 6)
-        grams = np.zeros((len(packed), 8), np.uint8)
-        grams[:, :6] = packed
-        gram = grams.reshape(-1).view("<u8")
-        gram = gram | (np.uint64(bucket) << bits & np.uint64(0xFFFF << 48))
-        name, size = np.repeat(classes["f0"], classes["f2"]), np.repeat(classes["f1"], classes["f2"])
+    def shared_of(gram: np.ndarray, name: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
         order = np.lexsort((name, gram))
         gram, name, size = gram[order], name[order], size[order]
         new = np.ones(len(gram), bool)
@@ -170,41 +207,68 @@ def _shared(dealt: DataFrame, buckets: int, width: int) -> DataFrame:
         df = np.diff(at, append=len(gram))
         df = np.repeat(df, df)
         many = df >= 2
-        gram, name, size, df = gram[many], name[many], size[many], df[many]
-        home = (name % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(home, kind="stable")
-        ends = np.cumsum(np.bincount(home, minlength=buckets))
-        for b, (start, end) in enumerate(zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True)):
-            if start < end:
-                part = order[start:end]
-                rows.append((b, b"", np.rec.fromarrays([name[part], size[part], gram[part], df[part]], dtype="<u8,<u4,<u8,<u4").tobytes()))
-        return pd.DataFrame(rows, columns=["home", "docs", "shared"])
-
-    return dealt.repartition(width, "bucket").groupBy("bucket").applyInPandas(count, "home int, docs binary, shared binary")
-
-
-def _classes(shared: DataFrame, width: int) -> DataFrame:
-    """Rows (class, n, lone, central, grams) of classes that may have links; grams are in prefix order."""
-
-    def gather(frame: pd.DataFrame) -> pd.DataFrame:
-        found = np.concatenate([np.frombuffer(x, "<u8,<u4,<u8,<u4") for x in frame["shared"]])
-        found = found[np.lexsort((found["f2"], found["f3"], found["f0"]))]
-        name, size, df = found["f0"], found["f1"].astype(np.int64), found["f3"].astype(np.float64)
-        at = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
-        counts = np.diff(at, append=len(name))
-        n = size[at]
-        lone = n - counts
-        central = np.add.reduceat(np.log2(df), at) / n
-        keep = np.flatnonzero(lone < prefix_length(n))
-        grams = np.ascontiguousarray(found["f2"]).view(np.int64)
-        row = np.repeat(np.arange(len(at)), counts)
-        odd = np.bincount(row * (64 * PARITIES) + (grams & (64 * PARITIES - 1)), minlength=len(at) * 64 * PARITIES) & 1
-        parities = np.packbits(odd.astype(bool)).view(np.int64).reshape(-1, PARITIES)[keep]
-        own = pd.Series([grams[at[i] : at[i] + counts[i]] for i in keep], dtype=object)
-        return pd.DataFrame({"class": np.ascontiguousarray(name[at][keep]).view(np.int64), "n": n[keep], "lone": lone[keep], "central": central[keep], **{f"p{k}": parities[:, k] for k in range(PARITIES)}, "grams": own})
-
-    rows = shared.filter("octet_length(shared) > 0").select("home", "shared").repartition(width, "home")
-    return rows.groupBy("home").applyInPandas(gather, f"class bigint, n bigint, lone bigint, central double, {', '.join(f'p{k} bigint' for k in range(PARITIES))}, grams array<bigint>")
+        return [name[many], size[many], gram[many], df[many]]
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for bucket, frame in _by_bucket(batches, "bucket"):
+            rows = [(0, docs, b"") for docs in frame["docs"] if docs]
+            classes = [_unpacked(x) for x in frame["classes"] if x]
+            if classes:
+                name, size, counts = (np.concatenate(x) for x in zip(*classes, strict=True))
+                letters = np.frombuffer(b"".join(frame["grams"]), np.uint8).reshape(-1, 6)
+                del frame, classes
+                owner = np.repeat(np.arange(len(name)), counts)
+                # The bytes that are left out, lowest bits of the bucket among them, stand above 48 bits.
+                top = np.uint64(bucket) << bits & np.uint64(0xFFFF << 48)
+                parts = -(-len(letters) // RANGE)
+                # The two highest bytes that were sent are spread evenly enough to split by.
+                part = (letters[:, 4].astype(np.int32) | (letters[:, 5].astype(np.int32) << 8 & 0xFF00)) * parts >> 16 if parts > 1 else None
+                found = []
+                for k in range(parts):
+                    chosen = slice(None) if part is None else np.flatnonzero(part == k)
+                    wide = np.zeros((len(letters) if part is None else len(chosen), 8), np.uint8)
+                    wide[:, :6] = letters[chosen]
+                    found.append(shared_of(wide.reshape(-1).view("<u8") | top, name[owner[chosen]], size[owner[chosen]]))
+                name, size, gram, df = (np.concatenate(x) for x in zip(*found, strict=True))
+                home = (name % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(home, kind="stable")
+                ends = np.cumsum(np.bincount(home, minlength=buckets))
+                for b, (start, end) in enumerate(zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True)):
+                    if start < end:
+                        at = order[start:end]
+                        rows.append((b, b"", np.rec.fromarrays([name[at], size[at], gram[at], df[at]], dtype="<u8,<u4,<u8,<u4").tobytes()))
+            yield pd.DataFrame(rows, columns=["home", "docs", "shared"])
+
+    return dealt.repartitionById(buckets, F.col("bucket")).mapInPandas(count, "home int, docs binary, shared binary")
+
+
+def _classes(shared: DataFrame, buckets: int) -> DataFrame:
+    """Rows (class, n, lone, central, sketch, grams) of classes that may have links; grams are in prefix order."""
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, frame in _by_bucket(batches, "home"):
+            found = np.concatenate([np.frombuffer(x, "<u8,<u4,<u8,<u4") for x in frame["shared"]])
+            found = found[np.lexsort((found["f2"], found["f3"], found["f0"]))]
+            name, size, df = found["f0"], found["f1"].astype(np.int64), found["f3"].astype(np.float64)
+            at = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
+            counts = np.diff(at, append=len(name))
+            n = size[at]
+            lone = n - counts
+            central = np.add.reduceat(np.log2(df), at) / n
+            keep = np.flatnonzero(lone < prefix_length(n))
+            grams = np.ascontiguousarray(found["f2"])
+            row = np.repeat(np.arange(len(at)), counts)
+            width = 64 * PARITIES
+            odd = np.bincount(row * width + (grams % np.uint64(width)).astype(np.int64), minlength=len(at) * width) & 1
+            part = np.bincount(row * PARTS + (grams >> np.uint64(64 - (PARTS - 1).bit_length())).astype(np.int64), minlength=len(at) * PARTS)
+            sketch = [np.packbits(odd.astype(bool)).view(np.int64).reshape(-1, PARITIES), np.minimum(part, 0xFFFF).astype("<u2").view(np.int64).reshape(-1, PARTS // 4)]
+            columns = dict(zip(SKETCH, np.concatenate(sketch, axis=1)[keep].T, strict=True))
+            grams = grams.view(np.int64)
+            own = pd.Series([grams[at[i] : at[i] + counts[i]] for i in keep], dtype=object)
+            yield pd.DataFrame({"class": np.ascontiguousarray(name[at][keep]).view(np.int64), "n": n[keep], "lone": lone[keep], "central": central[keep], **columns, "grams": own})
+
+    rows = shared.filter("octet_length(shared) > 0").select("home", "shared").repartitionById(buckets, F.col("home"))
+    return rows.mapInPandas(gather, f"class bigint, n bigint, lone bigint, central double, {', '.join(f'{c} bigint' for c in SKETCH)}, grams array<bigint>")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -245,16 +309,19 @@ def _may_link(a: str, b: str) -> str:
     n, m = f"{a}n", f"{b}n"
     needed = f"ceil(({PERCENT} * ({n} + {m})) / {100 + PERCENT})"
     differ = " + ".join(f"bit_count({a}p{k} ^ {b}p{k})" for k in range(PARITIES))
+    part = lambda x, k: f"(shiftrightunsigned({x}s{k // 4}, {k % 4 * 16}) & 65535)"
+    common = " + ".join(f"least({part(a, k)}, {part(b, k)})" for k in range(PARTS))
     return (
         f"least({n}, {m}) * 100 >= {PERCENT} * greatest({n}, {m})"
         f" and least({n} - {a}lone - {a}pos, {m} - {b}lone - {b}pos) >= {needed}"
         f" and {n} - {a}lone + {m} - {b}lone - ({differ}) >= 2 * {needed}"
+        f" and (greatest({n}, {m}) > 65535 or {common} >= {needed})"  # larger parts may not be told in full
     )
 
 
 def _links(classes: DataFrame) -> DataFrame:
     """Links (a, b) between classes, by the two steps described above: enough of them for the components."""
-    seen = ["class", "n", "lone", "pos", *[f"p{k}" for k in range(PARITIES)]]
+    seen = ["class", "n", "lone", "pos", *SKETCH]
     prefix = f"cast(n - ceil({PERCENT} * n / 100) + 1 - lone as int)"
     postings = classes.select("central", *[c for c in seen if c != "pos"], F.posexplode(F.expr(f"slice(grams, 1, least(size(grams), {prefix}))")).alias("pos", "gram"))
     hubs = postings.groupBy("gram").agg(F.max(F.struct("central", *seen)).alias("hub"), F.count("*").alias("m")).filter("m > 1").select("gram", "hub.*")
@@ -267,9 +334,11 @@ def _links(classes: DataFrame) -> DataFrame:
     labelled = postings.drop("central").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     by_label = labelled.groupBy("gram", "label").count().groupBy("gram").agg(F.max(F.struct("count", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
     mixed = labelled.join(by_label.select("gram", F.col("top.label").alias("top")), "gram")
-    odd = mixed.filter("label <> top").select("gram", *[F.col(c).alias(f"o_{c}") for c in (*seen, "label")])
+    # Sizes of linked sets differ by 4/3 at most, so their bands, on a base a little above, by one.
+    band = F.floor(F.log(1.34, F.col("n"))).cast("int")
+    odd = mixed.filter("label <> top").select("gram", F.explode(F.array(band - 1, band, band + 1)).alias("band"), *[F.col(c).alias(f"o_{c}") for c in (*seen, "label")])
     # A pair of odd classes comes up from both sides; it is kept where the first is the smaller.
-    across = odd.join(mixed, "gram").filter("label <> o_label and (label = top or class > o_class)").filter(_may_link("", "o_"))
+    across = odd.join(mixed.withColumn("band", band), ["gram", "band"]).filter("label <> o_label and (label = top or class > o_class)").filter(_may_link("", "o_"))
     met = across.select(F.least("class", "o_class").alias("a"), F.greatest("class", "o_class").alias("b")).distinct()
     second = cut(_verified(met.join(tested, ["a", "b"], "left_anti"), classes))
     return first.union(second)
@@ -283,9 +352,9 @@ def join(documents: DataFrame) -> DataFrame:
     differing texts of one id are joined like texts of two; equal texts always link; an empty table
     gives no rows; other columns are ignored.
     """
-    width = shuffle_width(documents.sparkSession)
-    buckets = 1 << max(6, (width - 1).bit_length())
-    packed = cut(_shared(_dealt(documents, buckets), buckets, buckets))
+    size = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = buckets_of(size)
+    packed = cut(_shared(_dealt(documents, buckets), buckets))
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -298,7 +367,9 @@ def join(documents: DataFrame) -> DataFrame:
     labels = components(_links(classes))
     # The smallest document of each class, then of each component; a component is named by it.
     smallest = docs.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least_doc"))
-    labelled = smallest.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    least = labelled.groupBy("label").agg(F.min("least_doc").alias("component_id"))
-    named = labelled.join(least, "label").select("class", "component_id")
-    return docs.join(named, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked = labels.withColumnRenamed("node", "class").join(smallest, "class")
+    # Cut, so that the join on a label of many classes has plain shuffles on both sides and can be split.
+    least = cut(linked.groupBy("label").agg(F.min("least_doc").alias("component_id")))
+    named = linked.join(least, "label").select("class", "component_id")
+    by_class = smallest.join(named, "class", "left").select("class", F.coalesce("component_id", "least_doc").alias("component_id"))
+    return docs.join(by_class, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
