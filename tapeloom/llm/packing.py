@@ -4,7 +4,9 @@ Pieces (a document, or its parts of the greatest length) go in order of falling
 the open bin that leaves the least room. If it fits none, a bin is opened: of the permitted lengths
 that hold the piece, the one of the least reduced cost, which is the cost of a bin of that length less
 the room it leaves, as far as smaller pieces are still to come to fill it, at the lowest price per
-token of any length. In the end each bin shrinks to the least permitted length that holds it.
+token of any length. In the end each bin shrinks to the least permitted length that holds it. Beside this
+joint packing stand those that open bins of one length only (of the next that holds the piece, for longer
+pieces); the cheapest of them is taken, so permitting more lengths never costs more.
 
 Documents are dealt to groups of about ``docs_per_group``, or ``tokens_per_group`` tokens if that gives more
 groups, by a hash, and each group is packed
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from tapeloom.llm.common import cut
 
 LENGTHS = (512, 1024, 2048, 4096)
-LOT = 1000
+LOT = 100
 SCHEMA = "doc_id bigint, part bigint, first_token bigint, n_tokens bigint, bin_id bigint, start bigint, capacity bigint, used bigint"
 
 
@@ -34,8 +36,21 @@ def sequence_cost(length: int) -> float:
     return length * (1 + length / 65536) + 32
 
 
-def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, cost: Callable[[int], float] = sequence_cost) -> tuple[list[int], list[int], list[int]]:
-    """(bin, start) of each piece and the final length of each bin; sizes fall and fit the greatest length."""
+Packed = tuple[list[int], list[int], list[int]]
+
+
+def cheapest(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, cost: Callable[[int], float] = sequence_cost) -> Packed:
+    """The packing of least cost: lengths chosen jointly, or one length for all that it holds."""
+    lengths = tuple(sorted(lengths))
+    tried = [pack(sizes, lengths, cost), *[pack(sizes, lengths, cost, opened=lengths[k:]) for k in range(len(lengths))]]
+    return min(tried, key=lambda x: sum(map(cost, x[2])))
+
+
+def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, cost: Callable[[int], float] = sequence_cost, opened: tuple[int, ...] = ()) -> Packed:
+    """(bin, start) of each piece and the final length of each bin; sizes fall and fit the greatest length.
+
+    With ``opened``, a bin is opened at the least of these lengths that holds the piece.
+    """
     lengths = tuple(sorted(lengths))
     price = min(cost(x) / x for x in lengths)
     rooms: list[list[int]] = [[] for _ in range(lengths[-1] + 1)]  # open bins by the room they have
@@ -52,7 +67,7 @@ def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, cost: Callable[[i
             if not rooms[room]:
                 mask ^= 1 << room
         else:
-            room = min((x for x in lengths if x >= size), key=lambda x: (cost(x) - price * min(x - size, left), x))
+            room = next(x for x in opened if x >= size) if opened else min((x for x in lengths if x >= size), key=lambda x: (cost(x) - price * min(x - size, left), x))
             chosen = len(used)
             used.append(0)
         bins.append(chosen)
@@ -98,7 +113,7 @@ def pack_documents(documents: DataFrame, *, tokens: Column | None = None, length
         part = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
         pieces = np.minimum(top, n[doc] - part * top)
         order = np.argsort(-pieces, kind="stable")
-        bins, starts, final = pack(pieces[order].tolist(), lengths, cost)
+        bins, starts, final = cheapest(pieces[order].tolist(), lengths, cost)
         bins, final = np.array(bins, np.int64), np.array(final, np.int64)
         held = np.bincount(bins, pieces[order], len(final)).astype(np.int64) if len(bins) else np.zeros(0, np.int64)
         base = (int(frame["group"].iloc[0]) if len(frame) else 0) << 32

@@ -9,14 +9,19 @@ only presence counts. The score of a text with terms T is the logistic function
 so that a pair such as an insult and a mention of a group can weigh more than both apart.
 The pair sum costs one pass: half of |sum v|^2 - sum |v|^2.
 
-Of all terms, the ``keep`` that tell the labels apart best in the training rows, with a chi-square
-statistic of ``least_chi`` or more, get weights; the others have none. Training is minibatch Adam on the
-driver over at most ``train_rows`` labelled rows, sent as lists of kept terms.
+Of all terms, those get weights that tell the labels apart in the training rows by themselves, with a
+chi-square statistic of ``least_chi`` or more, and those that do so as part of a pair: a first machine is
+fitted to the former, and of every two terms that occur in ``least_share`` of the rows or more, both are
+taken if the labels of the rows that have both differ from what that machine says by a squared
+z-score of ``least_pair`` or more. So a mention of a group that is as common in clean texts as in toxic
+ones still counts beside an insult. No number of terms is set. Training is minibatch Adam on the
+driver over at most ``train_rows`` labelled documents, one row for each id, sent as lists of terms; pairs
+are looked for in ``pair_rows`` of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -82,6 +87,14 @@ class Machine:
             out.append(1 / (1 + np.exp(-np.clip(self.margins(row, term, b - a), -40, 40))))
         return np.concatenate(out)
 
+    def of_terms(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Scores of rows given as terms, of which those without a weight are passed over."""
+        number = self.numbers()
+        places = [number[x] for x in rows]
+        places = [x[x >= 0] for x in places]
+        row = np.repeat(np.arange(len(rows)), [len(x) for x in places])
+        return 1 / (1 + np.exp(-np.clip(self.margins(row, np.concatenate([np.zeros(0, np.int64), *places]), len(rows)), -40, 40)))
+
     def numbers(self) -> np.ndarray:
         number = np.full(1 << TERM_BITS, -1, np.int64)
         number[self.terms] = np.arange(len(self.terms))
@@ -125,8 +138,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, train_rows: int = 24_000, keep: int = 4096, least_chi: float = 20.0) -> Machine | None:
-    """A machine from labelled documents outside the held-out third; None without labels of both kinds."""
+def pair_terms(rows: list[np.ndarray], residuals: np.ndarray, variances: np.ndarray, terms: int, least_pair: float) -> np.ndarray:
+    """Terms (0 .. terms - 1) of pairs in whose rows the residuals sum up to much more than chance."""
+    shown = np.zeros((len(rows), terms), np.float32)
+    for i, row in enumerate(rows):
+        shown[i, row] = 1
+    found = np.zeros(terms, bool)
+    for at in range(0, terms, 512):  # some columns of the matrix of all pairs at a time
+        some = shown[:, at : at + 512]
+        sums = shown.T @ (some * residuals[:, None].astype(np.float32))
+        spread = shown.T @ (some * variances[:, None].astype(np.float32))
+        strong = (spread >= 5) & (sums * sums >= least_pair * spread)
+        strong[np.arange(at, at + some.shape[1]), np.arange(some.shape[1])] = False
+        found |= strong.any(axis=1)
+    return np.flatnonzero(found)
+
+
+def fit(
+    documents: DataFrame, labels: DataFrame, *, train_rows: int = 24_000, least_chi: float = 20.0, pair_rows: int = 4_000, least_share: float = 0.03, least_pair: float = 40.0
+) -> Machine | None:
+    """A machine from labelled documents outside the held-out third; None without labels of both kinds or terms that tell them apart.
+
+    Where rows share a ``doc_id``, one of them is trained on: the one whose text has the least hash.
+    """
     marked = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).filter(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     chosen = sampled(marked.groupBy("doc_id").agg(F.max("label").alias("label")), "doc_id", train_rows)
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most about train_rows
@@ -139,7 +173,10 @@ def fit(documents: DataFrame, labels: DataFrame, *, train_rows: int = 24_000, ke
                 split = np.split(term.astype(np.int32), np.searchsorted(row, np.arange(1, b - a)))
                 yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy()[a:b], "label": labels[a:b], "terms": split})
 
-    rows = cut(texts.mapInPandas(terms, "doc_id bigint, label int, terms array<int>"))
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, label int, terms array<int>"
+    found = texts.mapInPandas(terms, schema)
+    rows = cut(found.groupBy("doc_id").agg(F.max("label").alias("label"), F.min_by("terms", F.xxhash64("terms")).alias("terms")))
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("ones")).first()
     n, ones = total["n"], total["ones"]
     if not 0 < ones < n:
@@ -147,20 +184,49 @@ def fit(documents: DataFrame, labels: DataFrame, *, train_rows: int = 24_000, ke
     seen, marked_seen = F.col("seen"), F.col("marked")
     chi = n * (marked_seen * n - seen * ones) ** 2 / (seen * (n - seen + 1e-9) * ones * (n - ones))
     counts = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("seen"), F.sum("label").alias("marked"))
-    best = counts.filter((seen >= 3) & (chi >= least_chi)).orderBy(chi.desc(), "term").limit(keep).select("term").toPandas()["term"].to_numpy()
-    kept = np.sort(best.astype(np.int64))
-    if not len(kept):
-        return None
-    number = np.full(1 << TERM_BITS, -1, np.int32)
-    number[kept] = np.arange(len(kept))
+    telling, common = (seen >= 3) & (chi >= least_chi), seen >= least_share * n
+    # 2**TERM_BITS rows at most, whatever the texts.
+    told = counts.filter(telling | common).select("term", telling.alias("telling"), common.alias("common")).toPandas().sort_values("term")
+
+    def sent(kept: np.ndarray, of: DataFrame) -> pd.DataFrame:
+        number = np.full(1 << TERM_BITS, -1, np.int32)
+        number[kept] = np.arange(len(kept))
+
+        def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in batches:
+                found = [number[x] for x in frame["terms"]]
+                yield pd.DataFrame({"doc_id": frame["doc_id"], "label": frame["label"], "terms": [x[x >= 0] for x in found]})
+
+        return of.mapInPandas(places, schema).toPandas().sort_values("doc_id")
+
+    def machine_of(kept: np.ndarray) -> Machine:
+        data = sent(kept, rows)
+        return train(data["terms"].tolist(), data["label"].to_numpy(), kept)
+
+    by_itself = told.loc[told["telling"], "term"].to_numpy(np.int64)
+    often = told.loc[told["common"], "term"].to_numpy(np.int64)
+    machine = machine_of(by_itself) if len(by_itself) else None
+    some = sent(np.union1d(by_itself, often), sampled(rows, "doc_id", pair_rows))
+    every = np.union1d(by_itself, often)
+    shown = [every[x] for x in some["terms"]]
+    share = np.full(len(shown), ones / n) if machine is None else machine.of_terms(shown)
+    place = np.full(1 << TERM_BITS, -1, np.int64)
+    place[often] = np.arange(len(often))
+    in_pairs = often[pair_terms([place[x][place[x] >= 0] for x in shown], some["label"].to_numpy() - share, share * (1 - share), len(often), least_pair)]
+    more = np.setdiff1d(in_pairs, by_itself)
+    return machine_of(np.union1d(by_itself, more)) if len(more) else machine
+
+
+def _probabilities(machine: Machine | None) -> Callable[[Column], Column]:
+    if machine is None:
+        return lambda text: F.lit(0.5)
+    number = machine.numbers()
 
-    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            found = [number[x] for x in frame["terms"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "label": frame["label"], "terms": [x[x >= 0] for x in found]})
+    @F.pandas_udf("double")
+    def apply(text: pd.Series) -> pd.Series:
+        return pd.Series(machine.scores(text.fillna("").tolist(), number))
 
-    data = rows.mapInPandas(places, "doc_id bigint, label int, terms array<int>").toPandas().sort_values("doc_id")
-    return train(data["terms"].tolist(), data["label"].to_numpy(), kept)
+    return apply
 
 
 def score(documents: DataFrame, machine: Machine | None) -> DataFrame:
@@ -170,15 +236,10 @@ def score(documents: DataFrame, machine: Machine | None) -> DataFrame:
     each; an empty table stays empty; a column named score or predicted is replaced. Without a
     machine each score is 0.5.
     """
-    documents = documents.drop("score", "predicted")
-    if machine is None:
-        scored = documents.withColumn("score", F.lit(0.5))
-    else:
-        number = machine.numbers()
+    scored = documents.drop("score", "predicted").withColumn("score", _probabilities(machine)(F.col("text")))
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
-        @F.pandas_udf("double")
-        def apply(text: pd.Series) -> pd.Series:
-            return pd.Series(machine.scores(text.fillna("").tolist(), number))
 
-        scored = documents.withColumn("score", apply("text"))
-    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+def without_toxic(documents: DataFrame, machine: Machine | None) -> DataFrame:
+    """The rows that ``machine`` does not reject, with their columns as they are, whatever their names."""
+    return documents.filter(_probabilities(machine)(F.col("text")) < THRESHOLD)
