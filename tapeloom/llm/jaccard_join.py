@@ -57,7 +57,7 @@ PERCENT = 75
 PARITIES, PARTS = 6, 8
 SKETCH = tuple([f"p{k}" for k in range(PARITIES)] + [f"s{k}" for k in range(PARTS // 4)])
 #: Bytes of text per bucket: the most, and what makes it worth while to have more of the first ``FEW``.
-BUCKET_BYTES, LEAST_BYTES, FEW = 1 << 27, 1 << 18, 256
+BUCKET_BYTES, LEAST_BYTES, FEW = 1 << 28, 1 << 18, 128
 #: Shingles of a bucket that are counted at a time.
 RANGE = 1 << 21
 #: Shingles that a map task holds before it sends them.
@@ -121,14 +121,14 @@ def _planes(numbers: np.ndarray) -> bytes:
     return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def _packed(names: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> bytes:
-    return names.astype("<u8").tobytes() + _planes(sizes) + _planes(counts)
+def _packed(names: np.ndarray, numbers: np.ndarray) -> bytes:
+    return names.astype("<u8").tobytes() + _planes(numbers)
 
 
-def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = len(data) // 16
-    low = np.frombuffer(data, np.uint8, 8 * n, 8 * n).reshape(2, 4, n)
-    return np.frombuffer(data, "<u8", n), *(np.ascontiguousarray(x.T).view("<u4").reshape(-1) for x in low)
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // 12
+    low = np.frombuffer(data, np.uint8, 4 * n, 8 * n).reshape(4, n)
+    return np.frombuffer(data, "<u8", n), np.ascontiguousarray(low.T).view("<u4").reshape(-1)
 
 
 def _by_bucket(batches: Iterator[pd.DataFrame], column: str) -> Iterator[tuple[int, pd.DataFrame]]:
@@ -142,10 +142,11 @@ def _by_bucket(batches: Iterator[pd.DataFrame], column: str) -> Iterator[tuple[i
 
 
 def _dealt(documents: DataFrame, buckets: int) -> DataFrame:
-    """Packed rows (bucket, docs, classes, grams): a pass over the texts.
+    """Packed rows (bucket, docs, sizes, classes, grams): a pass over the texts.
 
-    ``docs`` has (doc_id, size, class) of documents, in rows of any bucket; ``classes`` has (class,
-    size, shingles in this bucket) and ``grams`` their hashes, without the bits that the bucket tells.
+    ``docs`` has (doc_id, size, class) of documents, in rows of any bucket; ``sizes`` has (class, size) in
+    rows of the class's home; ``classes`` has (class, shingles in this bucket) and ``grams`` their
+    hashes, without two bytes, of which the bucket tells some bits.
     """
     bits = buckets.bit_length() - 1
 
@@ -167,8 +168,10 @@ def _dealt(documents: DataFrame, buckets: int) -> DataFrame:
                     part = order[start:end]
                     who, count = np.unique(owner[part], return_counts=True)
                     # Six of eight bytes; the bucket tells some of the others.
-                    rows.append((b, b"", _packed(names[who], sizes[who], count), np.ascontiguousarray(hashes[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()))
-            yield pd.DataFrame(rows, columns=["bucket", "docs", "classes", "grams"])
+                    rows.append((b, b"", b"", _packed(names[who], count), np.ascontiguousarray(hashes[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()))
+            home = (names % np.uint64(buckets)).astype(np.int64)
+            rows += [(b, b"", _packed(names[home == b], sizes[home == b]), b"", b"") for b in np.unique(home).tolist()]
+            yield pd.DataFrame(rows, columns=["bucket", "docs", "sizes", "classes", "grams"])
 
         for frame in batches:
             texts, ids = frame["text"].tolist(), frame["doc_id"].to_numpy(np.int64)
@@ -177,7 +180,7 @@ def _dealt(documents: DataFrame, buckets: int) -> DataFrame:
                 names = set_names(hashes, sizes)
                 turn += 1
                 docs = np.rec.fromarrays([ids[a:b], sizes, names], dtype="<i8,<i8,<u8")
-                yield pd.DataFrame({"bucket": [turn % buckets], "docs": [docs.tobytes()], "classes": [b""], "grams": [b""]})
+                yield pd.DataFrame({"bucket": [turn % buckets], "docs": [docs.tobytes()], "sizes": [b""], "classes": [b""], "grams": [b""]})
                 fresh = np.array([x not in sent and not sent.add(x) for x in names.tolist()], bool) & (sizes > 0)
                 held.append((names[fresh], sizes[fresh], hashes[np.repeat(fresh, sizes)]))
                 waiting += int(sizes[fresh].sum())
@@ -188,33 +191,33 @@ def _dealt(documents: DataFrame, buckets: int) -> DataFrame:
             yield from flush()
 
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter("doc_id is not null")
-    return rows.mapInPandas(deal, "bucket int, docs binary, classes binary, grams binary")
+    return rows.mapInPandas(deal, "bucket int, docs binary, sizes binary, classes binary, grams binary")
 
 
 def _shared(dealt: DataFrame, buckets: int) -> DataFrame:
-    """Packed rows (home, docs, shared): ``shared`` has (class, size, gram, classes of the gram), for grams of two or more."""
+    """Packed rows (home, docs, sizes, shared): ``shared`` has (class, gram, classes of the gram), for grams of two or more."""
     bits = np.uint64(64 - (buckets.bit_length() - 1))
 
-    def shared_of(gram: np.ndarray, name: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    def shared_of(gram: np.ndarray, name: np.ndarray) -> list[np.ndarray]:
         order = np.lexsort((name, gram))
-        gram, name, size = gram[order], name[order], size[order]
+        gram, name = gram[order], name[order]
         new = np.ones(len(gram), bool)
         new[1:] = (gram[1:] != gram[:-1]) | (name[1:] != name[:-1])
-        gram, name, size = gram[new], name[new], size[new]
+        gram, name = gram[new], name[new]
         first = np.ones(len(gram), bool)
         first[1:] = gram[1:] != gram[:-1]
         at = np.flatnonzero(first)
         df = np.diff(at, append=len(gram))
         df = np.repeat(df, df)
         many = df >= 2
-        return [name[many], size[many], gram[many], df[many]]
+        return [name[many], gram[many], df[many]]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for bucket, frame in _by_bucket(batches, "bucket"):
-            rows = [(0, docs, b"") for docs in frame["docs"] if docs]
+            rows = [(bucket, docs, sizes, b"") for docs, sizes in zip(frame["docs"], frame["sizes"], strict=True) if docs or sizes]
             classes = [_unpacked(x) for x in frame["classes"] if x]
             if classes:
-                name, size, counts = (np.concatenate(x) for x in zip(*classes, strict=True))
+                name, counts = (np.concatenate(x) for x in zip(*classes, strict=True))
                 letters = np.frombuffer(b"".join(frame["grams"]), np.uint8).reshape(-1, 6)
                 del frame, classes
                 owner = np.repeat(np.arange(len(name)), counts)
@@ -228,18 +231,18 @@ def _shared(dealt: DataFrame, buckets: int) -> DataFrame:
                     chosen = slice(None) if part is None else np.flatnonzero(part == k)
                     wide = np.zeros((len(letters) if part is None else len(chosen), 8), np.uint8)
                     wide[:, :6] = letters[chosen]
-                    found.append(shared_of(wide.reshape(-1).view("<u8") | top, name[owner[chosen]], size[owner[chosen]]))
-                name, size, gram, df = (np.concatenate(x) for x in zip(*found, strict=True))
+                    found.append(shared_of(wide.reshape(-1).view("<u8") | top, name[owner[chosen]]))
+                name, gram, df = (np.concatenate(x) for x in zip(*found, strict=True))
                 home = (name % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(home, kind="stable")
                 ends = np.cumsum(np.bincount(home, minlength=buckets))
                 for b, (start, end) in enumerate(zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True)):
                     if start < end:
                         at = order[start:end]
-                        rows.append((b, b"", np.rec.fromarrays([name[at], size[at], gram[at], df[at]], dtype="<u8,<u4,<u8,<u4").tobytes()))
-            yield pd.DataFrame(rows, columns=["home", "docs", "shared"])
+                        rows.append((b, b"", b"", np.rec.fromarrays([name[at], gram[at], df[at]], dtype="<u8,<u8,<u4").tobytes()))
+            yield pd.DataFrame(rows, columns=["home", "docs", "sizes", "shared"])
 
-    return dealt.repartitionById(buckets, F.col("bucket")).mapInPandas(count, "home int, docs binary, shared binary")
+    return dealt.repartitionById(buckets, F.col("bucket")).mapInPandas(count, "home int, docs binary, sizes binary, shared binary")
 
 
 def _classes(shared: DataFrame, buckets: int) -> DataFrame:
@@ -247,16 +250,20 @@ def _classes(shared: DataFrame, buckets: int) -> DataFrame:
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, frame in _by_bucket(batches, "home"):
-            found = np.concatenate([np.frombuffer(x, "<u8,<u4,<u8,<u4") for x in frame["shared"]])
-            found = found[np.lexsort((found["f2"], found["f3"], found["f0"]))]
-            name, size, df = found["f0"], found["f1"].astype(np.int64), found["f3"].astype(np.float64)
+            found = np.concatenate([np.frombuffer(x, "<u8,<u8,<u4") for x in frame["shared"]])
+            if not len(found):
+                continue
+            found = found[np.lexsort((found["f1"], found["f2"], found["f0"]))]
+            name, df = found["f0"], found["f2"].astype(np.float64)
             at = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
             counts = np.diff(at, append=len(name))
-            n = size[at]
+            known, size = (np.concatenate(x) for x in zip(*map(_unpacked, frame["sizes"]), strict=True))
+            known, first = np.unique(known, return_index=True)
+            n = size[first][np.searchsorted(known, name[at])].astype(np.int64)
             lone = n - counts
             central = np.add.reduceat(np.log2(df), at) / n
             keep = np.flatnonzero(lone < prefix_length(n))
-            grams = np.ascontiguousarray(found["f2"])
+            grams = np.ascontiguousarray(found["f1"])
             row = np.repeat(np.arange(len(at)), counts)
             width = 64 * PARITIES
             odd = np.bincount(row * width + (grams % np.uint64(width)).astype(np.int64), minlength=len(at) * width) & 1
@@ -267,7 +274,7 @@ def _classes(shared: DataFrame, buckets: int) -> DataFrame:
             own = pd.Series([grams[at[i] : at[i] + counts[i]] for i in keep], dtype=object)
             yield pd.DataFrame({"class": np.ascontiguousarray(name[at][keep]).view(np.int64), "n": n[keep], "lone": lone[keep], "central": central[keep], **columns, "grams": own})
 
-    rows = shared.filter("octet_length(shared) > 0").select("home", "shared").repartitionById(buckets, F.col("home"))
+    rows = shared.filter("octet_length(shared) + octet_length(sizes) > 0").select("home", "sizes", "shared").repartitionById(buckets, F.col("home"))
     return rows.mapInPandas(gather, f"class bigint, n bigint, lone bigint, central double, {', '.join(f'{c} bigint' for c in SKETCH)}, grams array<bigint>")
 
 
