@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tapeloom.functions.binary import le, let, read_le
+from tapeloom.functions.binary import joined, le, let, read_le
 
 VERSION = 1
 #: Status names by byte.
@@ -25,13 +25,12 @@ def encode(frame: Column, *, outbound: Column, reencoded: Column, entries: Colum
         return F.concat(head, le(F.lit(0), 2))
 
     def entry(e: Column) -> Column:
-        path = F.aggregate(e["path"], F.lit(b""), lambda acc, p: F.concat(acc, le(p, 2)))
+        path = joined(F.transform(e["path"], lambda p: le(p, 2)))
         return F.concat(le(F.size(e["path"]), 1), path, le(e["status"], 1), le(F.octet_length(e["payload"]), 4), e["payload"])
 
     def sealed(found: Column) -> Column:
         sound = F.forall(found, lambda e: e["status"].between(0, 3) & ((e["status"] == 0) | (F.octet_length(e["payload"]) == 0)))
-        body = F.aggregate(found, F.lit(b""), lambda acc, e: F.concat(acc, entry(e)))
-        return F.when(sound, F.concat(le(F.size(found), 2), body))
+        return F.when(sound, F.concat(le(F.size(found), 2), joined(F.transform(found, entry))))
 
     return F.concat(head, let(entries, sealed))
 
@@ -116,6 +115,16 @@ def path_text(path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(F.transform(path, lambda p: p.cast("string")), "/"))
 
 
+def path_starts_with(path: Column, head: Column) -> Column:
+    """Whether a node path leads through the node at ``head``, or to it."""
+    return (F.size(path) >= F.size(head)) & (F.slice(path, F.lit(1), F.size(head)) == head)
+
+
+def path_step(path: Column, i: Column | int) -> Column:
+    """The child number at step ``i``, from 0; null beyond the end."""
+    return F.get(path, F.lit(i) if isinstance(i, int) else i)
+
+
 def at_path(found: Column, path: Column) -> Column:
     """The first entry at exactly this path, or null."""
     return F.get(F.filter(found, lambda e: e["path"] == path), F.lit(0))
