@@ -47,9 +47,17 @@ def stanza_rows(events: DataFrame) -> DataFrame:
     )
 
 
-def stanza_frame() -> Column:
-    """A frame from a row of ``stanzas``; some have attributes that no shape allows."""
+def stanza_frame(again: bool = False) -> Column:
+    """A frame from a row of ``stanzas``; some have attributes that no shape allows.
+
+    ``again``: as another writer would put it, with some times and addresses as text, and some senders lost.
+    """
     ord_, tag = F.col("ord"), F.col("tag")
+    sender, time = frame.jid(F.col("from_user").cast("string"), SERVER), frame.digits(F.col("t").cast("string"))
+    if again:
+        written = frame.text(F.concat(F.col("from_user").cast("string"), F.lit(f"@{SERVER}")))
+        sender = F.when(ord_ % 31 == 0, F.lit(None).cast("binary")).when(ord_ % 17 == 0, written).otherwise(sender)
+        time = F.when(ord_ % 19 == 0, frame.text(F.col("t").cast("string"))).otherwise(time)
     kind = (
         F.when(tag == "message", F.when(ord_ % 3 == 0, "sticker").otherwise("text"))
         .when(tag == "receipt", F.when(ord_ % 5 == 0, "bogus").when(ord_ % 5 < 3, "read"))
@@ -61,8 +69,8 @@ def stanza_frame() -> Column:
     inner = F.when((tag == "call") & (ord_ % 2 == 0), F.array(notice)).when(tag == "message", F.transform(F.sequence(F.lit(0), (ord_ % 3).cast("int")), lambda _: enc))
     attrs = [
         ("id", frame.text(F.col("id"))),
-        ("from", frame.jid(F.col("from_user").cast("string"), SERVER)),
-        ("t", frame.digits(F.col("t").cast("string"))),
+        ("from", sender),
+        ("t", time),
         ("recipient", F.when((tag == "message") & (ord_ % 2 == 0), frame.jid(F.lit("7"), SERVER))),
         ("offline", F.when((tag == "message") & (ord_ % 4 == 1), frame.token("1"))),
         ("type", frame.text(kind)),
@@ -117,16 +125,21 @@ def document_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recordings(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
-    """Baseline or candidate: ``recording, ord, direction, reencoded, frame, shape, paths``.
+    """Baseline or candidate: ``recording, ord, direction, reencoded, frame, paths``.
 
-    A recording is a session. The candidate loses the last stanza of sessions 5 on, changes some
-    ids, marks and statuses, and reads payloads that the baseline missed.
+    A recording is a session. The candidate loses the last stanza of sessions 5 on and the outbound half of session 6,
+    writes some frames another way, changes some ids, marks and statuses, reads payloads that the baseline
+    missed, and has frames with a byte too many (the baseline has half of them) and envelopes that are broken.
     """
-    rows = framed(spark, sf_dir)
+    rows = spread(stanzas(spark, sf_dir))
     right = side == "right"
     o = F.col("ord")
     if right:
-        rows = rows.filter("not (session >= 5 and ord % 97 = 1)").withColumn("id", F.when(o % 11 == 0, F.concat(F.col("id"), F.lit("x"))).otherwise(F.col("id"))).withColumn("frame", stanza_frame())
+        rows = rows.filter("not (session >= 5 and ord % 97 = 1) and not (session = 6 and direction = 'outbound')")
+        rows = rows.withColumn("id", F.when(o % 11 == 0, F.concat(F.col("id"), F.lit("x"))).otherwise(F.col("id")))
+    rows = rows.withColumn("frame", stanza_frame(again=right))
+    longer = F.when(o % (37 if right else 74) == 0, F.concat(F.col("frame"), F.lit(b"?"))).otherwise(F.col("frame"))
+    broken = F.lit(right) & (o % 41 == 0) & (F.col("direction") == "inbound")
     status = F.when(o % 13 == 0, 0 if right else 3).when(o % 17 == 0, 1 if right else 0).when(o % 19 == 0, 2 if right else 1).otherwise(0)
     said = F.concat(F.col("from_user").cast("string"), F.when(F.lit(right) & (o % 23 == 0), "!").otherwise(""))
     entry = F.struct(F.lit("/0").alias("path"), status.alias("status"), F.when(status == 0, said).alias("payload"))
@@ -135,7 +148,17 @@ def recordings(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
         "ord",
         "direction",
         ((o % 7 == 0) | (F.lit(right) & (o % 29 == 0))).alias("reencoded"),
-        "frame",
-        F.when(F.col("tag") != "presence", F.col("tag")).alias("shape"),
+        F.when(~broken, longer).alias("frame"),
         F.when(F.col("tag") == "message", F.array(entry)).otherwise(F.array().cast("array<struct<path: string, status: int, payload: string>>")).alias("paths"),
     )
+
+
+def producers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What both sides of each recording declare: ``recording, l_outbound, r_outbound, l_provenance, r_provenance``."""
+    k = F.col("recording")
+    return (
+        stanzas(spark, sf_dir)
+        .select(F.col("session").alias("recording"))
+        .distinct()
+        .select("recording", (k != 3).alias("l_outbound"), (k != 6).alias("r_outbound"), F.lit("a").alias("l_provenance"), F.when(k == 2, "b").otherwise("a").alias("r_provenance"))
+    )
