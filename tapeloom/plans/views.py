@@ -129,7 +129,7 @@ def recordings(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
 
     A recording is a session. The candidate loses the last stanza of sessions 5 on and the outbound half of session 6,
     writes some frames another way, changes some ids, marks and statuses, reads payloads that the baseline
-    missed, and has frames with a byte too many (the baseline has half of them) and envelopes that are broken.
+    missed, and has frames with a byte too many and envelopes that are broken.
     """
     rows = spread(stanzas(spark, sf_dir))
     right = side == "right"
@@ -138,7 +138,7 @@ def recordings(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
         rows = rows.filter("not (session >= 5 and ord % 97 = 1) and not (session = 6 and direction = 'outbound')")
         rows = rows.withColumn("id", F.when(o % 11 == 0, F.concat(F.col("id"), F.lit("x"))).otherwise(F.col("id")))
     rows = rows.withColumn("frame", stanza_frame(again=right))
-    longer = F.when(o % (37 if right else 74) == 0, F.concat(F.col("frame"), F.lit(b"?"))).otherwise(F.col("frame"))
+    longer = F.when(F.lit(right) & (o % 37 == 0), F.concat(F.col("frame"), F.lit(b"?"))).otherwise(F.col("frame"))
     broken = F.lit(right) & (o % 41 == 0) & (F.col("direction") == "inbound")
     status = F.when(o % 13 == 0, 0 if right else 3).when(o % 17 == 0, 1 if right else 0).when(o % 19 == 0, 2 if right else 1).otherwise(0)
     said = F.concat(F.col("from_user").cast("string"), F.when(F.lit(right) & (o % 23 == 0), "!").otherwise(""))
