@@ -8,11 +8,11 @@ by position within (recording, direction), by a full outer join; nothing is coll
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapeloom.functions import frame
 from tapeloom.operators.derive import event_equal_sql, with_events
+from tapeloom.operators.sequence import running
 
 FINDING = ("recording", "direction", "layer", "kind", "position", "path", "side")
 #: What each kind of finding means: (fails interop, fails regression); None: it depends on ``worse``.
@@ -36,8 +36,9 @@ JUDGEMENT: dict[str, tuple[bool, bool | None]] = {
 
 def positions(recording: DataFrame) -> DataFrame:
     """``position`` (from 0) within each direction of a recording, and that direction's ``n``."""
-    by = W.partitionBy("recording", "direction")
-    return recording.withColumn("position", F.row_number().over(by.orderBy("ord")) - 1).withColumn("n", F.count("*").over(by))
+    placed = running(recording, ["recording", "direction"], "ord", "position", F.lit(1), current=False)
+    sizes = recording.groupBy("recording", "direction").agg(F.count("*").alias("n"))
+    return placed.join(sizes, ["recording", "direction"])
 
 
 def aligned(left: DataFrame, right: DataFrame) -> DataFrame:

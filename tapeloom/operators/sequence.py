@@ -4,14 +4,46 @@ from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 WINDOW, LOOKAHEAD = 64, 64
 MAX_TAG, MAX_ID = 24, 64
+#: Ordinals of a key that one task takes at a time.
+STRETCH = 1 << 16
+
+
+def running(rows: DataFrame, keys: list[str], order: str, name: str, of: Column, kind: str = "sum", *, current: bool = True, backward: bool = False, stretch: int = STRETCH) -> DataFrame:
+    """``name``: the sum or maximum of ``of`` over a key's rows before this one, and this one if ``current``.
+
+    A key may hold any share of all rows, so its rows are dealt by stretches of ``order`` (whole numbers)
+    as well: each stretch has its own running value, and gets what the stretches before it come to, from a row
+    per stretch. ``backward``: over the rows after this one. Nothing before a row: 0 for sums, null for maxima.
+    Rows that share an ordinal come one after the other in no fixed order.
+    """
+    total = {"sum": F.sum, "max": F.max}[kind]
+    rows = rows.withColumns({"_stretch": F.floor(F.col(order) / stretch), "_of": of})
+    by = [*keys, "_stretch"]
+
+    def way(c: str) -> Column:
+        return F.col(c).desc() if backward else F.col(c).asc()
+
+    def earlier(window: WindowSpec, last: int) -> Column:
+        return total("_of").over(window.rowsBetween(W.unboundedPreceding, last))
+
+    inside = rows.withColumn("_inside", earlier(W.partitionBy(*by).orderBy(way(order)), 0 if current else -1))
+    sums = rows.groupBy(*by).agg(total("_of").alias("_of"))
+    # A null-safe join, since a key may be null.
+    sums = sums.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], earlier(W.partitionBy(*keys).orderBy(way("_stretch")), -1).alias("_before"))
+    met = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
+    both = inside.join(sums, reduce(and_, met), "left")
+    value = F.greatest("_before", "_inside") if kind == "max" else F.coalesce("_before", F.lit(0)) + F.coalesce("_inside", F.lit(0))
+    return both.withColumn(name, value).drop("_stretch", "_of", "_inside", "_before", *[f"_k{i}" for i in range(len(by))])
 
 
 def first_seen(stanzas: DataFrame) -> DataFrame:
@@ -87,16 +119,15 @@ def emission_order(stanzas: DataFrame, lookahead: int = LOOKAHEAD) -> DataFrame:
 
     ``stanzas`` has ``session, ord, done_at``: null means given up after ``lookahead`` more stanzas.
     """
-    done = F.coalesce("done_at", F.col("ord") + lookahead + 1)
-    return stanzas.withColumn("emitted_at", F.max(done).over(W.partitionBy("session").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)))
+    return running(stanzas, ["session"], "ord", "emitted_at", F.coalesce("done_at", F.col("ord") + lookahead + 1), "max")
 
 
 def fence(rows: DataFrame, key: str, order: str, token: str) -> DataFrame:
     """``admitted``: a token at least as new as all before it in its key; refused ones never raise the bar."""
-    before = F.max(token).over(W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
-    return rows.withColumn("admitted", F.col(token) >= F.coalesce(before, F.col(token)))
+    seen = running(rows, [key], order, "_bar", F.col(token), "max", current=False)
+    return seen.withColumn("admitted", F.col(token) >= F.coalesce("_bar", token)).drop("_bar")
 
 
 def stanzas_since(stanzas: DataFrame) -> DataFrame:
     """``age``: how many later stanzas of the session there are."""
-    return stanzas.withColumn("age", F.count("*").over(W.partitionBy("session").orderBy(F.col("ord").desc()).rowsBetween(W.unboundedPreceding, -1)))
+    return running(stanzas, ["session"], "ord", "age", F.lit(1), current=False, backward=True)

@@ -9,7 +9,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapeloom.functions import envelope, frame, payload
@@ -296,7 +295,7 @@ def dedup_window64(spark, sf_dir):
 
 def _held(spark, sf_dir) -> DataFrame:
     """Messages of each session wait for one payload per enc child; ``ord`` counts the session's stanzas."""
-    rows = views.stanzas(spark, sf_dir).withColumn("place", F.row_number().over(W.partitionBy("session").orderBy("ord")))
+    rows = sequence.running(views.stanzas(spark, sf_dir), ["session"], "ord", "place", F.lit(1))
     waiting = rows.filter("tag = 'message'").select("session", F.col("place").alias("ord"), "id", "from_user", F.explode(F.sequence(F.lit(0), (F.col("ord") % 3).cast("int"))).alias("slot"))
     return waiting
 
@@ -558,7 +557,7 @@ def stream_joiner(spark, sf_dir):
     later, when a message no longer waits unless the session has ended. A flush ends each session, in files of its own, later than
     all others.
     """
-    rows = views.stanzas(spark, sf_dir).withColumn("place", F.row_number().over(W.partitionBy("session").orderBy("ord")))
+    rows = sequence.running(views.stanzas(spark, sf_dir), ["session"], "ord", "place", F.lit(1))
     o, place, message = F.col("ord"), F.col("place").cast("bigint"), F.col("tag") == "message"
     none = lambda kind: F.lit(None).cast(kind)
 
