@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.functions import envelope, frame, payload
-from tapeloom.operators import capability, compare, sequence
+from tapeloom.operators import capability, compare, inspect, sequence
 from tapeloom.operators.derive import SHAPES, derive, event_equal, with_events
 from tapeloom.plans import views
 from tapeloom.session import shared_folder
@@ -520,6 +520,37 @@ def recording_round_trip(spark, sf_dir):
     return back.select(F.col("path").cast("bigint").alias("session"), "integrity", "found", "claimed", F.col("skipped").cast("int").alias("skipped"), recording.digest_text(recording.meta_value(F.col("meta"), "note")).alias("note"))
 
 
+_INSPECTED = f"""c AS (SELECT conv_id // 50 AS recording, conv_id, conv_id % 10 = 3 AS bad, {_STATUS} AS status FROM conversations),
+i AS (SELECT recording, count(DISTINCT conv_id) AS envelopes, count(DISTINCT conv_id) FILTER (NOT bad) AS inbound, count(*) FILTER (NOT bad AND status = 'ok') AS ok,
+ count(*) FILTER (NOT bad AND status = 'decrypt_failed') AS decrypt_failed, count(*) FILTER (NOT bad AND status = 'unobserved') AS unobserved, count(DISTINCT conv_id) FILTER (bad) AS undecodable FROM c GROUP BY recording)"""
+
+
+def _inspected(spark, sf_dir) -> DataFrame:
+    """Conversations as recordings of 50 each, every tenth envelope with a byte too many; written, walked and counted."""
+    o, sealed = F.col("conv_id"), F.col("envelope")
+    longer = F.when(o % 10 == 3, F.concat(sealed, F.lit(b"?"))).otherwise(sealed)
+    rows = views.conversation_envelopes(spark, sf_dir).select(F.floor(o / 50).alias("recording"), o.alias("ord"), F.lit(0).alias("kind"), longer.alias("payload"))
+    path = f"{shared_folder(spark)}/inspected-{uuid.uuid4().hex}"
+    recording.write_recordings(rows, path, {"note": b"calls"})
+    return inspect.inspect(recording.read_tables(spark, path))
+
+
+@query(f"WITH {_INSPECTED} SELECT recording, envelopes, inbound, 0 AS outbound, ok, decrypt_failed, 0 AS unsupported, unobserved, undecodable, CASE WHEN ok > 0 THEN 'conversation ' || ok ELSE '' END AS content FROM i")
+def inspect_recordings(spark, sf_dir):
+    """What each recording holds: directions, states of entries, kinds of payloads, envelopes that don't decode."""
+    kinds = F.array_join(F.transform("content", lambda c: F.concat(c["kind"], F.lit(" "), c["n"].cast("string"))), ", ")
+    return _inspected(spark, sf_dir).select(F.col("path").cast("bigint").alias("recording"), *inspect.COUNTS, kinds.alias("content"))
+
+
+@query(f"""WITH {_INSPECTED}, l AS (SELECT recording, [ '  note          calls', '  integrity     complete: count and checksum both hold', '  envelopes     ' || envelopes || ': ' || inbound || ' inbound, 0 outbound',
+ CASE WHEN ok + decrypt_failed + unobserved > 0 THEN '  plaintexts    ' || (ok + decrypt_failed + unobserved) || ': ' || ok || ' ok, ' || decrypt_failed || ' decrypt-failed, 0 unsupported, ' || unobserved || ' unobserved' END,
+ CASE WHEN undecodable > 0 THEN '  unreadable    ' || undecodable || ' envelopes did not decode' END, CASE WHEN ok > 0 THEN '  content       conversation ' || ok END] AS texts FROM i), u AS (SELECT recording, k, texts[k] AS text FROM (SELECT *, unnest(generate_series(1, len(texts))) AS k FROM l))
+SELECT recording, CAST(row_number() OVER (PARTITION BY recording ORDER BY k) - 1 AS INT) AS line, text FROM u WHERE text IS NOT NULL""")
+def inspect_report(spark, sf_dir):
+    """The same as a report in lines."""
+    return inspect.report(_inspected(spark, sf_dir)).select(F.col("path").cast("bigint").alias("recording"), "line", "text")
+
+
 def _drained(spark, made: DataFrame, name: str) -> DataFrame:
     """All that a stream of the table gives, through a Parquet sink in the shared folder."""
     base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
