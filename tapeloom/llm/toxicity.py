@@ -14,13 +14,14 @@ chi-square statistic of ``least_chi`` or more, and those that do so as part of a
 fitted to the former, and of every two terms that occur in ``least_share`` of the rows or more, both are
 taken if the labels of the rows that have both differ from what that machine says by a squared
 z-score of ``least_pair`` or more. So a mention of a group that is as common in clean texts as in toxic
-ones still counts beside an insult. No number of terms is set. Training is minibatch Adam on the
-driver over at most ``train_rows`` labelled documents, one row for each id, sent as lists of terms; pairs
-are looked for in ``pair_rows`` of them.
+ones still counts beside an insult. No number of terms is set. Training is minibatch Adam in
+one task over at most ``train_rows`` labelled documents, one row for each id, sent as lists of terms; pairs
+are looked for in ``pair_rows`` of them. The driver gets the machine alone.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -154,6 +155,16 @@ def pair_terms(rows: list[np.ndarray], residuals: np.ndarray, variances: np.ndar
     return np.flatnonzero(found)
 
 
+def _in_a_task(rows: DataFrame, made: Callable[[list[np.ndarray], np.ndarray], object]) -> object:
+    """``made`` of (terms, labels) of rows ``doc_id, label, terms`` in order of their ids, by one task: the driver gets only the result."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(batches)).sort_values("doc_id")
+        yield pd.DataFrame({"made": [pickle.dumps(made(frame["terms"].tolist(), frame["label"].to_numpy(np.int64)))]})
+
+    return pickle.loads(rows.repartition(1).mapInPandas(of, "made binary").first()["made"])
+
+
 def fit(
     documents: DataFrame, labels: DataFrame, *, train_rows: int = 24_000, least_chi: float = 20.0, pair_rows: int = 4_000, least_share: float = 0.03, least_pair: float = 40.0
 ) -> Machine | None:
@@ -186,9 +197,9 @@ def fit(
     counts = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("seen"), F.sum("label").alias("marked"))
     telling, common = (seen >= 3) & (chi >= least_chi), seen >= least_share * n
     # 2**TERM_BITS rows at most, whatever the texts.
-    told = counts.filter(telling | common).select("term", telling.alias("telling"), common.alias("common")).toPandas().sort_values("term")
+    told = counts.filter(telling | common).select("term", telling.alias("telling"), common.alias("common")).toArrow().to_pandas().sort_values("term")
 
-    def sent(kept: np.ndarray, of: DataFrame) -> pd.DataFrame:
+    def sent(kept: np.ndarray, of: DataFrame) -> DataFrame:
         number = np.full(1 << TERM_BITS, -1, np.int32)
         number[kept] = np.arange(len(kept))
 
@@ -197,23 +208,24 @@ def fit(
                 found = [number[x] for x in frame["terms"]]
                 yield pd.DataFrame({"doc_id": frame["doc_id"], "label": frame["label"], "terms": [x[x >= 0] for x in found]})
 
-        return of.mapInPandas(places, schema).toPandas().sort_values("doc_id")
+        return of.mapInPandas(places, schema)
 
     def machine_of(kept: np.ndarray) -> Machine:
-        data = sent(kept, rows)
-        return train(data["terms"].tolist(), data["label"].to_numpy(), kept)
+        return _in_a_task(sent(kept, rows), lambda shown, marks: train(shown, marks, kept))
 
     by_itself = told.loc[told["telling"], "term"].to_numpy(np.int64)
     often = told.loc[told["common"], "term"].to_numpy(np.int64)
     machine = machine_of(by_itself) if len(by_itself) else None
-    some = sent(np.union1d(by_itself, often), sampled(rows, "doc_id", pair_rows))
     every = np.union1d(by_itself, often)
-    shown = [every[x] for x in some["terms"]]
-    share = np.full(len(shown), ones / n) if machine is None else machine.of_terms(shown)
-    place = np.full(1 << TERM_BITS, -1, np.int64)
-    place[often] = np.arange(len(often))
-    in_pairs = often[pair_terms([place[x][place[x] >= 0] for x in shown], some["label"].to_numpy() - share, share * (1 - share), len(often), least_pair)]
-    more = np.setdiff1d(in_pairs, by_itself)
+
+    def in_pairs(some: list[np.ndarray], marks: np.ndarray) -> np.ndarray:
+        shown = [every[x] for x in some]
+        share = np.full(len(shown), ones / n) if machine is None else machine.of_terms(shown)
+        place = np.full(1 << TERM_BITS, -1, np.int64)
+        place[often] = np.arange(len(often))
+        return often[pair_terms([place[x][place[x] >= 0] for x in shown], marks - share, share * (1 - share), len(often), least_pair)]
+
+    more = np.setdiff1d(_in_a_task(sent(every, sampled(rows, "doc_id", pair_rows)), in_pairs), by_itself)
     return machine_of(np.union1d(by_itself, more)) if len(more) else machine
 
 

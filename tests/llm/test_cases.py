@@ -271,3 +271,17 @@ def test_the_other_stages_on_odd_rows(spark, tmp_path, odd_docs):
     assert packed.select("doc_id", "bin_id", "start").distinct().count() == packed.count()
     for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.hide_secrets, corpus_pipeline.pack):
         assert stage(spark, clash.limit(0), str(tmp_path)).count() == 0
+
+
+def test_toxicity_is_not_trained_on_the_driver(spark, monkeypatch):
+    import os
+
+    driver, fitted = os.getpid(), toxicity.train
+
+    def elsewhere(*args):
+        assert os.getpid() != driver
+        return fitted(*args)
+
+    monkeypatch.setattr(toxicity, "train", elsewhere)
+    docs = spark.createDataFrame([(i, f"vile words {i}" if i % 2 else f"kind words {i}") for i in range(90)], "doc_id bigint, text string")
+    assert toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))) is not None
