@@ -5,11 +5,11 @@ addresses, IPv4 addresses, payment card numbers (Luhn), international telephone
 stay. High-recall generators propose more candidates, which may overlap: any run around ``@``,
 obfuscated addresses, and runs of digits with separators. Boosted trees (Spark ML) see the format of
 a candidate and the characters around it. They are to find what the patterns miss, so they are
-trained on the base spans of a sample of documents in disguise, without what the patterns go by:
+trained on the base spans of all documents in disguise, without what the patterns go by:
 addresses also with ``[at]`` or ``(at)``, telephone numbers without ``+``. Against them stand the candidates
 that touch no base span, without look-alikes of a disguised span (these may be what is looked for).
-The threshold is calibrated on a fifth of these rows that is kept from training, so that ``recall`` of its
-disguised spans stay at or above it. Candidates at or above it that touch no base span are
+Rows of the same features are one row with their number as its weight. The threshold is calibrated on a fifth of these rows
+that is kept from training, so that ``recall`` of its disguised spans stay at or above it. Candidates at or above it that touch no base span are
 added; of those that overlap, the one of the highest score.
 
 Everything on the way from texts to spans is DataFrame functions. The place of the i-th match of
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import cut, sampled
+from tapeloom.llm.common import cut
 
 KINDS = ("email", "ip", "card", "phone")
 SPAN = "struct<start: bigint, stop: bigint, text: string>"
@@ -175,8 +175,8 @@ def _free() -> Column:
     return ~F.exists("base", lambda b: (b["start"] < F.col("span.stop")) & (F.col("span.start") < b["stop"]))
 
 
-def _disguised(prepared: DataFrame) -> DataFrame:
-    """``kind, span, left, right`` of base spans: addresses also with the sign spelt out, telephone numbers without ``+``."""
+def _disguised() -> Column:
+    """``kind, seen`` (span, left, right) of base spans: addresses also with the sign spelt out, telephone numbers without ``+``."""
 
     def shown(kind: str) -> Column:
         def forms(span: Column) -> Column:
@@ -186,37 +186,46 @@ def _disguised(prepared: DataFrame) -> DataFrame:
 
         return F.flatten(F.transform(kind, forms))
 
-    every = F.concat(*[shown(k) for k in KINDS])
-    return prepared.select(F.inline(every)).select("kind", "seen.*")
+    return F.concat(*[shown(k) for k in KINDS])
+
+
+def _counted(rows: DataFrame, *more: Column) -> DataFrame:
+    """Features of ``span, left, right``, ``kept`` and columns ``more``, each different row once, with its number as ``weight``."""
+    kept = F.pmod(F.xxhash64("span.text", "left", "right"), F.lit(5)) == 0
+    made = features(rows).select(kept.alias("kept"), *FEATURES, *more)
+    return made.groupBy(*made.columns).agg(F.count("*").cast("double").alias("weight"))
 
 
 def training_rows(documents: DataFrame) -> DataFrame:
-    """``label``, features and ``kept`` (a fifth, for calibration): 1 for disguised base spans, 0 for candidates that neither touch a base span nor look like a disguised one."""
-    prepared = cut(_prepared(documents, "text"))
+    """``label``, features, ``weight`` and ``kept`` (a fifth, for calibration): 1 for disguised base spans, 0 for candidates that neither touch a base span nor look like a disguised one."""
+    # Spans and what stands around them are written, not the texts.
+    prepared = cut(_prepared(documents, "text").select("key", *KINDS, "proposed", _disguised().alias("shown")))
     shape = F.regexp_replace("span.text", "[0-9]", "0").alias("shape")
-    sought = _disguised(prepared)
+    sought = prepared.select(F.inline("shown")).select("kind", "seen.*")
     shapes = sought.filter("kind = 'phone'").select(shape).distinct()
     # Of digits without a sign between them, the shape says little: there only a cue makes a look-alike.
-    told = F.col("shape").rlike("[^0]") | F.col("left").rlike(_CUE)
+    told = F.col("shape").rlike("[^0]") | (F.col("cue") == 1)
     mail = F.col("span.text").rlike(r"(?i)[(\[]at[)\]]|@.*[^.]\.[^.]")
-    others = _spread(prepared).filter(_free() & ~mail).select("span", "left", "right", shape)
+    others = _counted(_spread(prepared).filter(_free() & ~mail).select("span", "left", "right"), shape)
     others = others.join(shapes.withColumn("known", F.lit(True)), "shape", "left").filter(~(F.coalesce("known", F.lit(False)) & told))
-    marked = [df.select(F.lit(label).alias("label"), "span", "left", "right") for df, label in ((sought, 1.0), (others, 0.0))]
-    kept = F.pmod(F.xxhash64("span.text", "left", "right"), F.lit(5)) == 0
-    return features(marked[0].unionByName(marked[1])).select("label", kept.alias("kept"), *FEATURES)
+    marked = [df.select(F.lit(label).alias("label"), "kept", *FEATURES, "weight") for df, label in ((_counted(sought), 1.0), (others, 0.0))]
+    return marked[0].unionByName(marked[1]).groupBy("label", "kept", *FEATURES).agg(F.sum("weight").alias("weight"))
+
 
+def train(documents: DataFrame, *, trees: int = 10, depth: int = 3, recall: float = 0.97) -> tuple[PipelineModel, float] | None:
+    """(model, threshold) from all documents; None without both labels in either part.
 
-def train(documents: DataFrame, *, train_documents: int = 12_000, trees: int = 10, depth: int = 3, recall: float = 0.97) -> tuple[PipelineModel, float] | None:
-    """(model, threshold) from about ``train_documents`` documents at most; None without both labels in either part."""
-    chosen = sampled(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", train_documents)
-    rows = cut(training_rows(chosen))
+    A feature is cut at up to 255 places. Spark ML takes them from all rows up to 65,536 different ones, and beyond from about as many of
+    them; the trees are grown, and the threshold is set, on all.
+    """
+    rows = cut(training_rows(documents))
     if rows.select("label", "kept").distinct().count() < 4:
         return None
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="vector")
-    booster = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=11)
+    booster = GBTClassifier(featuresCol="vector", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, maxBins=256, stepSize=0.3, seed=11)
     model = PipelineModel([assembler, booster.fit(assembler.transform(rows.filter("not kept")))])
-    scored = model.transform(rows.filter("kept")).select("label", vector_to_array("probability")[1].alias("p"))
-    least = scored.filter("label = 1").agg(F.percentile("p", F.lit(1 - recall)).alias("p")).first()["p"]
+    scored = model.transform(rows.filter("kept")).select("label", F.col("weight").cast("bigint").alias("weight"), vector_to_array("probability")[1].alias("p"))
+    least = scored.filter("label = 1").agg(F.percentile("p", F.lit(1 - recall), F.col("weight")).alias("p")).first()["p"]
     return model, least
 
 

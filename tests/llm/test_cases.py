@@ -285,3 +285,11 @@ def test_toxicity_is_not_trained_on_the_driver(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "train", elsewhere)
     docs = spark.createDataFrame([(i, f"vile words {i}" if i % 2 else f"kind words {i}") for i in range(90)], "doc_id bigint, text string")
     assert toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))) is not None
+
+
+def test_trees_learn_from_all_documents(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("write to a"), F.col("id").cast("string"), F.lit("@b.org or room 12345678")).alias("text"))
+    rows = pii.training_rows(docs)
+    assert rows.filter("label = 1").agg(F.sum("weight")).first()[0] == 60_000
+    assert rows.filter("label = 0").agg(F.sum("weight")).first()[0] == 20_000
+    assert rows.count() < 500
