@@ -8,29 +8,32 @@ surroundings as windows of ``WINDOW`` characters: an embedding per character, on
 maximum and the mean over places, one dense layer. The candidate's own characters are marked. A long candidate has several windows, up to
 ``AFTER`` characters behind its end, and the maximum counts.
 
-The network is to find what the patterns miss, so it is trained on the base spans of a sample of
-documents in disguise (``disguised``), in numpy, on the driver. Against them stand the candidates that
-touch no base span, without those that look like keys themselves (``key_like``): these may be what
-is looked for. Its output is calibrated by a logistic fit on findings kept from training, and the
-threshold is the highest that keeps ``recall`` of the disguised secrets there. Candidates at or above
+The network is to find what the patterns miss, so it is trained on the base spans of all documents in disguise
+(``disguised``). Against them stand all candidates that touch no base span, without those that look like keys
+themselves (``key_like``): these may be what is looked for. Each different window counts once.
+Windows are dealt by hash into parts of about ``PART``; a task trains a part in numpy, and the parts' networks are averaged
+after each of ``ROUNDS`` rounds (one part needs no averaging). The output is calibrated by a logistic fit on a fifth of the
+windows that is kept from training, and the threshold is the highest that keeps ``recall`` of the disguised secrets there. Candidates at or above
 it that touch no base span become spans of kind ``model``.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import sampled
+from tapeloom.llm.common import cut
 
 KINDS = ("assign", "access", "hex", "model")
 LEAST, SHORT, NEAR, BEFORE, AFTER, WINDOW = 12, 6, 24, 24, 12, 64
+PART, ROUNDS, STEPS, EPOCHS = 1 << 17, 2, 600, 6
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -172,28 +175,46 @@ class Network:
         pooled = np.concatenate([np.take_along_axis(z, top[:, None], 1)[:, 0], z.mean(axis=1)], axis=1)
         return patches, z, top, pooled, pooled @ self.dense + self.bias
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
-        if not len(x):
-            return np.zeros(0)
-        raw = np.concatenate([self.forward(x[i : i + 2048])[-1] for i in range(0, len(x), 2048)])
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        """The output before calibration, the same for a window in any company: filters are looked up by character."""
+        size = self.embedding.shape[1]
+        width = len(self.filters) // size
+        places = x.shape[1] - width + 1
+        looked_up = [(self.embedding @ self.filters[k * size : (k + 1) * size]).astype(np.float32) for k in range(width)]
+        out = [np.zeros(0)]
+        for i in range(0, len(x), 512):
+            part = x[i : i + 512]
+            z = looked_up[0][part[:, :places]] + self.offsets.astype(np.float32)
+            for k in range(1, width):
+                z += looked_up[k][part[:, k : k + places]]
+            np.maximum(z, 0, out=z)
+            pooled = np.concatenate([z.max(axis=1), z.mean(axis=1, dtype=np.float64)], axis=1)
+            out.append((pooled * self.dense).sum(axis=1) + self.bias)
+        return np.concatenate(out)
+
+    def calibrated(self, raw: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.shift, -40, 40)))
 
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        return self.calibrated(self.raw(x))
 
-def fit_network(x: np.ndarray, y: np.ndarray, *, recall: float = 0.98, epochs: int = 6, size: int = 8, filters: int = 16, width: int = 5, seed: int = 3) -> Network | None:
-    """Train on four fifths of the findings, calibrate and set the threshold on the rest; None without both labels."""
-    kept = np.arange(len(y)) % 5 == 0
-    if min(y[kept].sum(), (1 - y[kept]).sum(), y[~kept].sum(), (1 - y[~kept]).sum()) < 1:
-        return None
-    random = np.random.default_rng(seed)
-    net = Network(random.normal(0, 0.3, (256, size)), random.normal(0, 0.2, (width * size, filters)), np.zeros(filters), random.normal(0, 0.2, 2 * filters), 0.0)
-    tx, ty = x[~kept], y[~kept].astype(float)
+
+def _first(random: np.random.Generator, size: int, filters: int, width: int) -> Network:
+    return Network(random.normal(0, 0.3, (256, size)), random.normal(0, 0.2, (width * size, filters)), np.zeros(filters), random.normal(0, 0.2, 2 * filters), 0.0)
+
+
+def descend(net: Network, x: np.ndarray, y: np.ndarray, random: np.random.Generator) -> Network:
+    """``net`` trained on all of the windows: ``STEPS`` steps or so, in one to ``EPOCHS`` epochs."""
+    net = replace(net, embedding=net.embedding.copy(), filters=net.filters.copy(), offsets=net.offsets.copy(), dense=net.dense.copy())
+    size, filters = net.embedding.shape[1], len(net.offsets)
+    width = len(net.filters) // size
     state: list[list] = []
     step = 0
-    for _ in range(epochs):
-        order = random.permutation(len(ty))
+    for _ in range(int(np.clip(-(-STEPS * 64 // len(y)), 1, EPOCHS))):
+        order = random.permutation(len(y))
         for at in range(0, len(order), 64):
             chosen = order[at : at + 64]
-            bx, by = tx[chosen], ty[chosen]
+            bx, by = x[chosen], y[chosen]
             patches, z, top, pooled, raw = net.forward(bx)
             error = (1 / (1 + np.exp(-np.clip(raw, -40, 40))) - by) / len(by)
             back = error[:, None] * net.dense[None]
@@ -201,11 +222,12 @@ def fit_network(x: np.ndarray, y: np.ndarray, *, recall: float = 0.98, epochs: i
             rows = np.arange(len(by))[:, None]
             dz[rows, top, np.arange(filters)] += back[:, :filters]
             dz *= z > 0
-            d_filters = np.einsum("npk,npf->kf", patches, dz, optimize=True)
+            flat = dz.reshape(-1, filters)
+            d_filters = patches.reshape(len(flat), -1).T @ flat
             d_patches = dz @ net.filters.T
-            d_embedding = np.zeros_like(net.embedding)
-            for k in range(width):
-                np.add.at(d_embedding, bx[:, k : k + z.shape[1]], d_patches[:, :, k * size : (k + 1) * size])
+            seen = np.concatenate([bx[:, k : k + z.shape[1]].ravel() for k in range(width)])
+            pulls = np.concatenate([d_patches[:, :, k * size : (k + 1) * size].reshape(-1, size) for k in range(width)])
+            d_embedding = np.stack([np.bincount(seen, pulls[:, e], 256) for e in range(size)], axis=1)
             slopes = [d_embedding, d_filters, dz.sum(axis=(0, 1)), pooled.T @ error, np.array(error.sum())]
             state = state or [[np.zeros_like(s), np.zeros_like(s)] for s in slopes]
             step += 1
@@ -219,40 +241,103 @@ def fit_network(x: np.ndarray, y: np.ndarray, *, recall: float = 0.98, epochs: i
             net.offsets -= moves[2]
             net.dense -= moves[3]
             net.bias -= float(moves[4])
-    cx, cy = x[kept], y[kept].astype(float)
-    raw = np.concatenate([net.forward(cx[i : i + 2048])[-1] for i in range(0, len(cx), 2048)])
-    raw_scale = max(1.0, float(np.abs(raw).std()))
-    a, b = 1.0 / raw_scale, 0.0
+    return net
+
+
+def _averaged(nets: list[tuple[Network, int]]) -> Network:
+    """The mean of networks, each weighed by its number of windows."""
+    total = sum(n for _, n in nets)
+    mean = lambda name: sum(getattr(net, name) * (n / total) for net, n in nets)
+    return Network(*[mean(c) for c in ("embedding", "filters", "offsets", "dense", "bias")])
+
+
+def _windows(seen) -> np.ndarray:
+    return np.frombuffer(b"".join(bytes(s) for s in seen), np.uint8).reshape(-1, WINDOW)
+
+
+def fit_network(found: DataFrame, *, recall: float = 0.98, size: int = 8, filters: int = 16, width: int = 5, seed: int = 3) -> Network | None:
+    """Train on four fifths of ``findings``, calibrate and set the threshold on the rest; None without both labels in either part."""
+    parts = max(1, -(-found.count() // PART))
+    # By ranges of the hash and in its order: the same parts, and the same fifth of all, from any partitioning.
+    dealt = found.withColumn("part", F.least(F.floor((F.col("rank") / 2.0**64 + 0.5) * parts), F.lit(parts - 1)))
+    sizes = {r["part"]: r["n"] for r in dealt.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    before, total = {}, 0
+    for p in sorted(sizes):
+        before[p], total = total, total + sizes[p]
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, at = None, 0
+        for frame in batches:
+            part = frame["part"].to_numpy()
+            fresh = np.append(True, part[1:] != part[:-1])[: len(part)]
+            starts = np.flatnonzero(fresh)
+            nth = np.arange(len(part)) - np.repeat(starts, np.diff(np.append(starts, len(part))))
+            if len(part) and part[0] == last:
+                nth[part == last] += at
+            if len(part):
+                last, at = part[-1], nth[-1] + 1
+            yield frame[["part", "seen", "label"]].assign(kept=(np.array([before[p] for p in part], np.int64) + nth) % 5 == 0)
+
+    rows = cut(dealt.repartition(parts, "part").sortWithinPartitions("part", "rank", "seen").mapInPandas(told, "part bigint, seen binary, label int, kept boolean"))
+    counts = {(r["kept"], r["label"]): r["n"] for r in rows.groupBy("kept", "label").agg(F.count("*").alias("n")).collect()}
+    if len(counts) < 4:
+        return None
+    net = _first(np.random.default_rng(seed), size, filters, width)
+    for turn in range(ROUNDS if parts > 1 else 1):
+
+        def learn(batches: Iterator[pd.DataFrame], net: Network = net, turn: int = turn) -> Iterator[pd.DataFrame]:
+            frames = [(f["part"].to_numpy(), f["label"].to_numpy(np.int64), _windows(f["seen"])) for f in batches]
+            if frames:
+                part, y, x = (np.concatenate(c) for c in zip(*frames, strict=True))
+                for p in np.unique(part):
+                    own, random = np.flatnonzero(part == p), np.random.default_rng(seed + turn)
+                    if not turn:
+                        _first(random, size, filters, width)
+                    yield pd.DataFrame({"part": [p], "net": [pickle.dumps(descend(net, x[own], y[own], random))], "n": [len(own)]})
+
+        made = rows.filter("not kept").mapInPandas(learn, "part bigint, net binary, n bigint").collect()
+        net = _averaged([(pickle.loads(r["net"]), r["n"]) for r in sorted(made, key=lambda r: r["part"])])
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            yield pd.DataFrame({"raw": net.raw(_windows(frame["seen"])), "label": frame["label"]})
+
+    scored = cut(rows.filter("kept").select("seen", "label").mapInPandas(score, "raw double, label int"))
+    # The k-th lowest output of the disguised secrets; the lowest ones are sorted by the tasks.
+    lowest = scored.filter("label = 1").orderBy("raw").limit(int((1 - recall) * counts[True, 1]) + 1)
+    least = lowest.agg(F.max("raw").alias("raw")).first()["raw"]
+    # Alike outputs as one: the fit that follows sees each cell's mean and number of rows.
+    ends = scored.agg(F.min("raw").alias("low"), F.max("raw").alias("high"), F.stddev_pop("raw").alias("spread")).first()
+    cell = F.floor((F.col("raw") - ends["low"]) / max(ends["high"] - ends["low"], 1e-9) * 1000)
+    cells = scored.groupBy("label", cell.alias("cell")).agg(F.avg("raw").alias("raw"), F.count("*").alias("n")).orderBy("label", "cell").collect()
+    raw, y, n = (np.array([r[c] for r in cells], float) for c in ("raw", "label", "n"))
+    weight = n / n.sum()
+    raw_scale = max(1.0, ends["spread"])
+    net.slope, net.shift = 1.0 / raw_scale, 0.0
     for _ in range(200):  # logistic calibration, slightly drawn to a slope of one
-        p = 1 / (1 + np.exp(-np.clip(a * raw + b, -40, 40)))
-        a -= 0.5 * (float(((p - cy) * raw).mean()) / raw_scale**2 + 1e-3 * (a - 1))
-        b -= 0.5 * float((p - cy).mean())
-    net.slope, net.shift = a, b
-    p = np.sort(net.probability(cx[cy == 1]))
-    net.threshold = float(p[int((1 - recall) * len(p))])
+        off = weight * (net.calibrated(raw) - y)
+        net.slope -= 0.5 * (float((off * raw).sum()) / raw_scale**2 + 1e-3 * (net.slope - 1))
+        net.shift -= 0.5 * float(off.sum())
+    net.threshold = float(net.calibrated(np.array([least]))[0])
     return net
 
 
-def findings(documents: DataFrame, *, train_documents: int = 20_000, per_label: int = 4_000) -> tuple[np.ndarray, np.ndarray]:
-    """(windows, labels) of the disguised base spans and other candidates in a sample of documents: at most ``per_label`` of each label."""
+def findings(documents: DataFrame) -> DataFrame:
+    """``seen, label, rank``: each different window of the disguised base spans (1) and other candidates (0) of all documents, with a hash of it."""
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            rows = []
+            rows: dict[bytes, int] = {}
             for text in frame["text"]:
                 spans = base_spans(text)
-                rows += [(w, 1) for span in spans for shown in disguised(text, span) for w in windows(*shown)]
+                rows |= {w: 1 for span in spans for shown in disguised(text, span) for w in windows(*shown)}
                 free = [(a, b) for a, b in uncovered(spans, candidates(text)) if not key_like(text[a:b])]
-                rows += [(w, 0) for a, b in free for w in windows(text, a, b)]
-            yield pd.DataFrame(rows, columns=["seen", "label"]).astype({"label": "int32"})
+                for w in (w for a, b in free for w in windows(text, a, b)):
+                    rows.setdefault(w, 0)
+            yield pd.DataFrame({"seen": list(rows), "label": pd.Series(rows.values(), dtype="int32")})
 
-    chosen = sampled(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", train_documents)
-    # One row per different finding, in an order of their own: the same sample from any partitioning.
-    rows = chosen.mapInPandas(extract, "seen binary, label int").groupBy("seen").agg(F.max("label").alias("label")).withColumn("rank", F.xxhash64("seen"))
-    parts = [rows.filter(F.col("label") == v).orderBy("rank").limit(per_label).toPandas() for v in (0, 1)]
-    both = pd.concat(parts).sort_values("rank")
-    x = np.frombuffer(b"".join(bytes(s) for s in both["seen"]), np.uint8).reshape(-1, WINDOW)
-    return x, both["label"].to_numpy(np.int64)
+    texts = documents.select(F.coalesce("text", F.lit("")).alias("text"))
+    return texts.mapInPandas(extract, "seen binary, label int").groupBy("seen").agg(F.max("label").alias("label")).withColumn("rank", F.xxhash64("seen"))
 
 
 def scan_text(text: str, net: Network | None) -> list[Span]:
@@ -287,8 +372,8 @@ def scan(documents: DataFrame, net: Network | None) -> DataFrame:
 
 
 def train(documents: DataFrame, **options) -> Network | None:
-    """A network from the documents themselves; None if a sample lacks secrets or other candidates."""
-    return fit_network(*findings(documents, **options))
+    """A network from the documents themselves; None if they lack secrets or other candidates."""
+    return fit_network(cut(findings(documents)), **options)
 
 
 def redact(documents: DataFrame, net: Network | None, mark: str = "[SECRET]") -> DataFrame:

@@ -293,3 +293,18 @@ def test_trees_learn_from_all_documents(spark):
     assert rows.filter("label = 1").agg(F.sum("weight")).first()[0] == 60_000
     assert rows.filter("label = 0").agg(F.sum("weight")).first()[0] == 20_000
     assert rows.count() < 500
+
+
+def test_findings_are_those_of_all_documents(spark):
+    docs = spark.range(21_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("AKIA"), F.lpad(F.col("id").cast("string"), 16, "X"), F.lit(" but not runner"), F.col("id").cast("string")).alias("text"))
+    found = {r["label"]: r["n"] for r in secret_scan.findings(docs).groupBy("label").agg(F.count("*").alias("n")).collect()}
+    assert found == {0: 21_000, 1: 21_000}
+
+
+def test_parts_are_averaged(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "PART", 500)
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("the key AKIA"), F.substring(F.upper(F.sha1(F.col("id").cast("string"))), 1, 18), F.lit(" but not run"), F.col("id").cast("string")).alias("text"))
+    net = secret_scan.train(docs)
+    assert secret_scan.train(docs.repartition(7)).threshold == net.threshold
+    shown = spark.createDataFrame([(1, "the key 7F3A90BC11DE42A7C9 but not run5")], "doc_id bigint, text string")
+    assert [(s["kind"], s["start"], s["end"]) for s in secret_scan.scan(shown, net).first()["spans"]] == [("model", 8, 26)]
