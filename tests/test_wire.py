@@ -156,3 +156,11 @@ def test_recordings_round_trip(spark, tmp_path):
     for r in recording.contents(rows, finished=False).collect():
         (tmp_path / "f" / f"{r['recording']}.wawr").write_bytes(bytes(r["content"]))
     assert {r["integrity"] for r in recording.read_recordings(spark, str(tmp_path / "f")).collect()} == {"truncated"}
+
+
+@pytest.mark.parametrize("name", ["claim_tags", "enum_policy"])
+def test_frames_are_parsed_once(spark, name):
+    from tapeloom.plans import queries
+
+    plan = queries.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("read(") == 1
