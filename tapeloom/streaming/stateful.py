@@ -6,9 +6,13 @@ wall clock or watermark is used: recordings have no time per stanza.
 
 from __future__ import annotations
 
+import heapq
 import json
+import pickle
+import tempfile
 from collections import OrderedDict
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,6 +21,37 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from tapeloom.operators.sequence import LOOKAHEAD, WINDOW, admit
 
 
+#: Rows of a key that are sorted at a time, and those of a sorted run that are held while runs are merged.
+RUN, PIECE = 1 << 17, 1 << 11
+
+
+def _in_order(frames: Iterator[pd.DataFrame], order: str) -> Iterator[tuple]:
+    """The rows of all frames by ``order``: sorted runs go to files of the task's own, so memory is bounded by a run and a piece of each."""
+
+    def stored(run: list[pd.DataFrame]) -> Iterator[tuple]:
+        frame, file = pd.concat(run).sort_values(order, kind="stable"), tempfile.TemporaryFile()
+        for at in range(0, len(frame), PIECE):
+            pickle.dump(frame.iloc[at : at + PIECE], file)
+        file.seek(0)
+        return read(file, -(-len(frame) // PIECE))
+
+    def read(file, pieces: int) -> Iterator[tuple]:
+        with file:
+            for _ in range(pieces):
+                yield from pickle.load(file).itertuples(index=False)
+
+    runs, held, n = [], [], 0
+    for frame in frames:
+        held.append(frame)
+        n += len(frame)
+        if n >= RUN:
+            runs.append(stored(held))
+            held, n = [], 0
+    if held:
+        runs.append(pd.concat(held).sort_values(order, kind="stable").itertuples(index=False))
+    return heapq.merge(*runs, key=lambda r: getattr(r, order))
+
+
 class _Dedup(StatefulProcessor):
     def __init__(self, window: int):
         self.window = window
@@ -53,15 +88,17 @@ class _Join(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         queue = json.loads(self.queue.get()[0]) if self.queue.exists() else []
-        out: list[tuple] = []
-        frame = pd.concat(list(rows)).sort_values("arrival")
-        for r in frame.itertuples(index=False):
-            queue = self._step(queue, r)
-            while queue and (queue[0]["done"] or all(s is not None for s in queue[0]["slots"])):
-                q = queue.pop(0)
-                out += [(key[0], q["ord"], i, s, "unobserved" if s is None else "ok") for i, s in enumerate(q["slots"])]
+        columns = ["session", "ord", "slot", "payload", "status"]
+        ordered = _in_order(rows, "arrival")
+        while part := list(islice(ordered, RUN)):
+            out: list[tuple] = []
+            for r in part:
+                queue = self._step(queue, r)
+                while queue and (queue[0]["done"] or all(s is not None for s in queue[0]["slots"])):
+                    q = queue.pop(0)
+                    out += [(key[0], q["ord"], i, s, "unobserved" if s is None else "ok") for i, s in enumerate(q["slots"])]
+            yield pd.DataFrame(out, columns=columns)
         self.queue.update((json.dumps(queue),))
-        yield pd.DataFrame(out, columns=["session", "ord", "slot", "payload", "status"])
 
     def _step(self, queue: list[dict], r) -> list[dict]:
         if r.event == "flush":  # the end of a session: all that waits leaves

@@ -44,3 +44,14 @@ def test_join_stream_keeps_order_and_bound(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r["ord"], r["slot"]): (r["payload"], r["status"]) for r in spark.table("j").select(F.col("ord"), "slot", "payload", "status").collect()}
     assert got == {(1, 0): ("A0", "ok"), (1, 1): ("A1", "ok"), (2, 0): ("B", "ok"), (3, 0): (None, "unobserved"), (7, 0): (None, "unobserved"), (7, 1): ("E1", "ok")}
+
+
+def test_runs_are_merged_in_order(monkeypatch):
+    import pandas as pd
+
+    from tapeloom.streaming import stateful
+
+    monkeypatch.setattr(stateful, "RUN", 10)
+    monkeypatch.setattr(stateful, "PIECE", 3)
+    frames = (pd.DataFrame({"arrival": [(7 * i + k) % 101 for k in range(4)], "id": [None, "a", "b", "c"]}) for i in range(9))
+    assert [r.arrival for r in stateful._in_order(frames, "arrival")] == sorted((7 * i + k) % 101 for i in range(9) for k in range(4))
