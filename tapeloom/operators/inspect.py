@@ -46,7 +46,7 @@ def inspect(recordings: DataFrame) -> DataFrame:
     A recording without envelopes has counts of 0 and no content; an unreadable one has them too, and its ``error``.
     """
     rows = recording.envelopes(recordings)
-    told = recordings.drop("records").join(counts(rows), "path", "left").na.fill(0, list(COUNTS))
+    told = recording.states(recordings).join(counts(rows), "path", "left").na.fill(0, list(COUNTS))
     none = F.array().cast("array<struct<kind: string, n: bigint>>")
     return told.join(content(rows), "path", "left").withColumn("content", F.coalesce("content", none))
 

@@ -516,7 +516,7 @@ def recording_round_trip(spark, sf_dir):
     odd = rows.groupBy("recording").agg((F.max("ord") + 1).alias("ord")).select("recording", "ord", F.lit(9).alias("kind"), F.lit(b"?").alias("payload"))
     path = f"{shared_folder(spark)}/recordings-{uuid.uuid4().hex}"
     recording.write_recordings(rows.unionByName(odd), path, {"note": b"baseline"})
-    back = recording.read_tables(spark, path)
+    back = recording.states(recording.read_tables(spark, path, kept=False))
     return back.select(F.col("path").cast("bigint").alias("session"), "integrity", "found", "claimed", F.col("skipped").cast("int").alias("skipped"), recording.digest_text(recording.meta_value(F.col("meta"), "note")).alias("note"))
 
 

@@ -158,6 +158,65 @@ def test_recordings_round_trip(spark, tmp_path):
     assert {r["integrity"] for r in recording.read_recordings(spark, str(tmp_path / "f")).collect()} == {"truncated"}
 
 
+@pytest.mark.parametrize("kept", [True, False])
+def test_runs_of_bytes_are_walked_as_the_whole(kept):
+    random.seed(2)
+    whole = _file([(0, b"abc"), (1, b"\x01\0\0\0hi"), (9, b"?" * 300), (0, b"")], meta=struct.pack("<HI", 2, 1) + b"n")
+    for data in (whole, whole + b"x", whole[:-14] + b"z" + whole[-13:], *[whole[:k] for k in range(len(whole))]):
+        walked = recording.Walk("p", kept)
+        cuts = sorted(random.randrange(len(data) + 1) for _ in range(5))
+        for a, b in zip([0, *cuts], [*cuts, len(data)]):
+            walked.feed(data[a:b])
+        assert walked.end() == recording.walk("p", data) | ({} if kept else {"records": []})
+
+
+def test_a_record_that_is_not_kept_is_not_held():
+    walked = recording.Walk("p", False)
+    walked.feed(_file([], trailer=False) + struct.pack("<BI", 0, 1 << 31))
+    for _ in range(64):
+        walked.feed(bytes(1 << 16))
+        assert not walked.held
+    assert walked.end()["dangling"] == 5 + (1 << 22)
+
+
+def test_checksums_of_parts_join():
+    a, b = b"abc" * 50_000, b"defg" * 40_000
+    assert recording.joined_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+    assert recording.joined_crc(zlib.crc32(a), 0, 0) == zlib.crc32(a)
+
+
+def test_a_recording_is_written_and_read_in_parts(spark, tmp_path):
+    # Ordinals that are missing, negative, repeated and far apart; a payload beyond a part; a recording without a name.
+    random.seed(4)
+    found = [(random.choice([1, 1, 1, 2, None]), random.choice([None, *range(-70_000, 200_000, 700)]), random.choice([0, 1, 9]), bytearray(random.randbytes(random.randrange(300)))) for _ in range(4000)]
+    found.append((2, 5, 0, bytearray(100_000)))
+    rows = spark.createDataFrame(found, "recording bigint, ord bigint, kind int, payload binary").repartition(3)
+    recording.write_recordings(rows, str(tmp_path / "t"), {"note": b"two"})
+    table = spark.read.parquet(str(tmp_path / "t"))
+    assert table.groupBy("recording").count().agg(F.min("count")).first()[0] > 5
+    assert table.agg(F.max(F.octet_length("content"))).first()[0] < recording.PART + 100_100
+    bytes_of = {}
+    for r in table.orderBy("section", "stretch", "part").collect():
+        bytes_of[r["recording"]] = bytes_of.get(r["recording"], b"") + bytes(r["content"])
+    assert bytes_of == {r["recording"]: bytes(r["content"]) for r in recording.contents(rows, {"note": b"two"}).collect()}
+    back = recording.read_tables(spark, str(tmp_path / "t"))
+    want = {None if k is None else str(k): recording.walk(None, b) for k, b in bytes_of.items()}
+    for got in (recording.states(back), recording.states(recording.read_tables(spark, str(tmp_path / "t"), kept=False))):
+        assert {r["path"]: (r["integrity"], r["found"], r["claimed"], r["skipped"]) for r in got.collect()} == {k: ("complete", w["found"], w["claimed"], w["skipped"]) for k, w in want.items()}
+    read = recording.records(back).collect()
+    assert len(read) == len(found)
+    assert {(r["path"], r["ord"]): (r["kind"], bytes(r["payload"])) for r in read} == {(k, x["ord"]): (x["kind"], x["payload"]) for k, w in want.items() for x in w["records"]}
+
+
+def test_a_long_recording_gives_rows_of_bounded_size(spark):
+    n = recording.ROW_RECORDS * 2 + 5
+    files = spark.createDataFrame([("a", bytearray(_file([(0, b"x")] * n))), ("a", bytearray(_file([])))], "path string, content binary").coalesce(1)
+    rows = recording.walk_files(files)
+    assert rows.agg(F.max(F.size("records"))).first()[0] < n
+    assert [(r["integrity"], r["found"]) for r in recording.states(rows).orderBy("found").collect()] == [("complete", 0), ("complete", n)]
+    assert recording.envelopes(rows).agg(F.count("*"), F.max("ord")).first()[:] == (n, n - 1)
+
+
 @pytest.mark.parametrize("name", ["claim_tags", "enum_policy"])
 def test_frames_are_parsed_once(spark, name):
     from tapeloom.plans import queries
